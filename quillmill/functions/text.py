@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillmill.schema import CLEANER_HEADINGS
 
@@ -16,7 +17,7 @@ WHITE = r"(?U)[\s\x1c-\x1f]"
 FOLDINGS = {c: c.casefold() for c in "ßŉſǰẖẗẘẙẚẞﬀﬁﬂﬃﬄﬅﬆ"}
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def nfkc(text: str) -> str:
     """Unicode NFKC; Spark has no function for it."""
     return None if text is None else unicodedata.normalize("NFKC", text)

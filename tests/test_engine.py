@@ -118,14 +118,13 @@ def test_quality(spark):
     assert (row["warning_count"], row["total_field_count"]) == (2, 23)
 
 
-class Scripted:
-    def complete(self, prompt):
-        if "bad" in prompt:
-            raise ValueError("no")
-        return '```json\n{"title": "ok"}\n```'
-
-
 def test_provider_rows_fail_alone(spark):
+    class Scripted:
+        def complete(self, prompt):
+            if "bad" in prompt:
+                raise ValueError("no")
+            return '```json\n{"title": "ok"}\n```'
+
     df = spark.createDataFrame([("a", 0, "x", "good"), ("b", 0, "x", "bad")], "paper_id string, pos long, section_name string, text string")
     rows = {r["paper_id"]: r for r in providers.extract_with(df, Scripted, "{paper_id} {section_name} {paper_text} {previous_error}", all_fields=False).collect()}
     assert rows["a"]["error"] is None and "ok" in rows["a"]["json"] and "failed after 3 attempts" in rows["b"]["error"]

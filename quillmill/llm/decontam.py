@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,40 +36,43 @@ RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
 COSINE, VERBATIM, PARAPHRASE, ANSWERED = 0.5, 0.7, 0.5, 0.8
 MAX_WORDS = 100_000
 SUM_ROWS = 2_048
+#: Blocks of STRIDE words that are folded in at a time.
+FOLD_BLOCKS = 128
+#: Neither letters, digits nor white space.
+NEITHER = r"[^\p{L}\p{N}\p{Z}\s\x0b\x1c-\x1f\x{85}]+"
+#: Windows that are first checked as one.
+TOGETHER = 8
+SLICE = 500
 
 
-def norm(token: str) -> str:
-    """A word as it is compared: lower case, letters and digits only."""
-    return "".join(c for c in token.lower() if c.isalnum())
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """Words as they are compared: lower case, letters and digits only. Empty ones are to be left out."""
+    return pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), NEITHER, ""))
 
 
 def words(text: str | None) -> list[str]:
-    return [w for w in map(norm, (text or "").split()) if w]
+    return [w for w in split_words(pa.array([text or ""])).flatten().to_pylist() if w]
 
 
 def answer_of(text: str) -> str:
     return re.split(r"(?<=[.!?])\s+", text.strip())[-1]
 
 
-class Ids(dict):
-    """Raw token -> row of the index; 0 for words that the benchmark lacks, -1 for tokens without a word."""
+class Ids:
+    """Rows of the index of every word of texts; 0 for words that the benchmark lacks."""
 
     def __init__(self, rows: dict[str, int]):
-        super().__init__()
-        self.rows = rows
+        self.known = pa.array(["", *rows])  # rows are numbered from 1, in their order
 
-    def __missing__(self, token: str) -> int:
-        word = norm(token)
-        row = self.rows.get(word, 0) if word else -1
-        if len(self) >= 500_000:
-            self.clear()
-        if len(token) <= 40:
-            self[token] = row
-        return row
-
-    def of(self, text: str) -> np.ndarray:
-        ids = np.fromiter(map(self.__getitem__, tokens := text.split()), np.int32, len(tokens))
-        return ids[ids >= 0]
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        listed = split_words(texts)
+        at = pc.index_in(listed.flatten(), value_set=self.known.cast(listed.type.value_type))
+        ids = at.fill_null(0).to_numpy()
+        whole = at.is_null().to_numpy(zero_copy_only=False) | (ids > 0)  # not an empty one
+        lengths = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(whole)][np.r_[0, np.cumsum(lengths)]]
+        ids = ids[whole]
+        return [ids[x:y] for x, y in zip(ends[:-1], ends[1:])]
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -96,8 +100,9 @@ def _document_frequencies(docs: DataFrame, rows: dict[str, int]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, found = Ids(shared.value), np.zeros(len(shared.value) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found[np.unique(ids.of(text))] += 1
+            for at in range(0, batch.num_rows, SLICE):
+                for own in ids.of(batch.column(0).slice(at, SLICE)):
+                    found[np.unique(own)] += 1
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["row", "n"])
 
@@ -132,8 +137,7 @@ def latent_directions(items: DataFrame, rows: dict[str, int], idf: np.ndarray, *
             rows, idf, q = shared.value
             ids, total = Ids(rows), np.zeros_like(q)
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    whole = ids.of(text)
+                for whole in ids.of(batch.column(0)):
                     for a, b in windows_of(len(whole)):
                         at, w = _tfidf(whole[a:b], idf)
                         total[at] += np.outer(w, w @ q[at])
@@ -158,7 +162,7 @@ def build_index(docs: DataFrame, items: DataFrame, *, rank: int = RANK) -> Index
     n = docs.count()
     idf = np.log((1 + n) / (1 + _document_frequencies(docs, rows))) + 0.05
     directions = latent_directions(items.where("text is not null"), rows, idf, rank=rank)
-    vectors = (directions * idf[:, None]).astype(np.float32)
+    vectors = np.ascontiguousarray(directions * idf[:, None], np.float32)
     vectors[0] = 0
     listed, passages, item_of = [], [], []
     for k, (item, text, answer) in enumerate(held):
@@ -171,50 +175,87 @@ def build_index(docs: DataFrame, items: DataFrame, *, rank: int = RANK) -> Index
     return Index(rows, idf, vectors, p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9), np.array(item_of), listed)
 
 
-def candidates(index: Index, ids: np.ndarray, cosine: float) -> list[tuple[int, int, int]]:
-    """(item, start, end) of the windows whose cosine with one of the item's passages is large enough."""
-    spans = windows_of(len(ids))
-    # words are summed in blocks of STRIDE first; a window is two of them, but for the last
-    folded = np.empty((len(spans), index.vectors.shape[1]), np.float32)
-    known = ids > 0
-    rated = np.array([known[a:b].sum() for a, b in spans])
-    for k, (a, b) in enumerate(spans):
-        folded[k] = index.vectors[ids[a:b][known[a:b]]].sum(0) if rated[k] else 0
-    folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-9)
-    return [(int(index.item_of[j]), *spans[i]) for i, j in zip(*np.nonzero(folded @ index.passages.T >= cosine))]
-
-
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel over `a`; 0 matches nothing."""
+class Search:
+    """An index with what looking things up in it needs, made once for each task."""
+
+    def __init__(self, index: Index, *, cosine: float, verbatim: float, paraphrase: float, answered: float):
+        self.index, self.ids, self.cosine = index, Ids(index.rows), cosine
+        self.verbatim, self.paraphrase, self.answered = verbatim, paraphrase, answered
+        self.longest = max(len(wanted) for _, wanted, _ in index.items)
+        self.words = np.zeros((len(index.items), self.longest), np.int32)  # of each item, padded with 0
+        for k, (_, wanted, _) in enumerate(index.items):
+            self.words[k, : len(wanted)] = wanted
+        self.weights = np.where(self.words > 0, index.idf[self.words], 0)
+        self.least = paraphrase * self.weights.sum(1)
+        self.masks: list[dict[int, int] | None] = [None] * len(index.items)
+        self.stamp, self.now = np.zeros(len(index.rows) + 1, np.int64), 0
+
+    def candidates(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the windows and of the items whose passage has a large enough cosine with them."""
+        n, vectors = len(own), self.index.vectors
+        if n <= WINDOW:
+            folded = vectors[own].sum(0, keepdims=True)
+        else:  # a window is two blocks of STRIDE words, but for the last, which ends with the text
+            whole, one = n // STRIDE, np.ones((1, STRIDE), np.float32)
+            sums = np.empty((whole, vectors.shape[1]), np.float32)
+            for k in range(0, whole, FOLD_BLOCKS):
+                part = own[k * STRIDE : min(whole, k + FOLD_BLOCKS) * STRIDE]
+                sums[k : k + FOLD_BLOCKS] = (one @ vectors.take(part, axis=0).reshape(-1, STRIDE, vectors.shape[1]))[:, 0]
+            full = len(range(0, n - WINDOW, STRIDE))
+            folded = np.concatenate([sums[:full] + sums[1 : full + 1], vectors[own[n - WINDOW :]].sum(0, keepdims=True)])
+        cosines = folded @ self.index.passages.T
+        at, passage = np.nonzero(cosines >= self.cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", folded, folded)), 1e-9)[:, None])
+        return at, self.index.item_of[passage]
+
+    def weight(self, span: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Weight of each item's words that are in the span."""
+        self.now += 1
+        self.stamp[span] = self.now
+        return ((self.stamp[self.words[items]] == self.now) * self.weights[items]).sum(1)
+
+    def leaks(self, own: np.ndarray) -> dict[int, float]:
+        """Items found in the words of a text, with the share of their words found in order."""
+        found: dict[int, float] = {}
+        if not (own > 0).any():
+            return found
+        at, items = self.candidates(own)
+        spans, group = windows_of(len(own)), at // TOGETHER
+        ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+        for low, high in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            # chance meets are of common words, which weigh little; a wider span bounds every item's own one
+            a, b, some = spans[at[low]][0], spans[at[high - 1]][1], items[low:high]
+            heavy = self.weight(own[max(0, a - self.longest) : b + self.longest], some) >= self.least[some] * (1 - 1e-9)
+            for i, k in zip(at[low:high][heavy].tolist(), some[heavy].tolist()):
+                a, b = spans[i]
+                item, wanted, answer = self.index.items[k]
+                span = own[max(0, a - len(wanted)) : b + len(wanted)]
+                if found.get(item, 0) >= 1 or self.weight(span, np.array([k]))[0] < self.least[k]:
+                    continue
+                if self.masks[k] is None:
+                    self.masks[k] = masks_of(wanted)
+                share = common_subsequence(wanted, span, self.masks[k]) / len(wanted)
+                if share >= self.verbatim or (share >= self.paraphrase and len(answer) and common_subsequence(answer, span) >= self.answered * len(answer)):
+                    found[item] = max(found.get(item, 0), share)
+        return found
+
+
+def masks_of(a: np.ndarray) -> dict[int, int]:
+    """Places of each word of `a`, as bits; 0 is no word."""
     masks: dict[int, int] = {}
     for k, x in enumerate(a.tolist()):
         masks[x] = masks.get(x, 0) | 1 << k
     masks.pop(0, None)
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b.tolist():
-        if m := masks.get(y):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return masks
 
 
-def leaks(index: Index, text: str, ids: Ids, *, cosine: float, verbatim: float, paraphrase: float, answered: float) -> dict[int, float]:
-    """Items found in a text, with the share of their words found in order."""
-    own = ids.of(text)
-    if not (own > 0).any():
-        return {}
-    found: dict[int, float] = {}
-    for k, a, b in candidates(index, own, cosine):
-        item, wanted, answer = index.items[k]
-        span = own[max(0, a - len(wanted)) : b + len(wanted)]
-        weights = index.idf[wanted]
-        if found.get(item, 0) >= 1 or weights[np.isin(wanted, span)].sum() < paraphrase * weights.sum():
-            continue  # chance meets are of common words, which weigh little
-        share = common_subsequence(wanted, span) / len(wanted)
-        if share >= verbatim or (share >= paraphrase and len(answer) and common_subsequence(answer, span) >= answered * len(answer)):
-            found[item] = max(found.get(item, 0), share)
-    return found
+def common_subsequence(a: np.ndarray, b: np.ndarray, masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, bit-parallel over `a`; 0 matches nothing."""
+    masks = masks_of(a) if masks is None else masks
+    v = full = (1 << len(a)) - 1
+    for m in filter(None, map(masks.get, b.tolist())):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, carry: bool = False, rank: int = RANK, cosine: float = COSINE, verbatim: float = VERBATIM, paraphrase: float = PARAPHRASE, answered: float = ANSWERED, max_words: int = MAX_WORDS) -> DataFrame:
@@ -231,18 +272,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, carry: bool = False,
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     how = {"cosine": cosine, "verbatim": verbatim, "paraphrase": paraphrase, "answered": answered}
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(x.value, Ids(x.value.rows)) for x in shared]
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Search(x.value, **how) for x in shared]
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                found: list[dict[int, float]] = []
-                for text in batch.column(2).to_pylist():
-                    found.append({})
-                    for index, ids in held:
-                        found[-1] |= leaks(index, text, ids, **how)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
+                for search in held:
+                    for leaked, own in zip(found, search.ids.of(batch.column(2))):
+                        leaked |= search.leaks(own)
                 more = [pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found]), pa.array([not f for f in found])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["doc_id", "row", "item_ids", "share", "kept"])
 
-    out = parts.mapInArrow(search, f"doc_id long, row {parts.schema['row'].dataType.simpleString()}, item_ids array<long>, share double, kept boolean")
+    out = parts.mapInArrow(look, f"doc_id long, row {parts.schema['row'].dataType.simpleString()}, item_ids array<long>, share double, kept boolean")
     return out if carry else out.drop("row")

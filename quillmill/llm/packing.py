@@ -18,9 +18,11 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +33,51 @@ from quillmill.llm.base import written
 from quillmill.llm.tokens import UnitCache, load_tokenizer
 
 WORD = re.compile(r"[\S\x1c-\x1f]+")
+#: Printable ASCII without apostrophes (contractions) and < (special strings): such words are cut by PIECE in lower case.
+PLAIN = re.compile(r"[!-&(-;=-~]+")
+PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are numbered in groups of about so many.
 GROUP_ROWS = 50_000
 
 
+def cuts_plainly(tokenizer) -> bool:
+    """Whether the tokenizer cuts plain words as PIECE does, tried on all pairs of their characters."""
+    marks = [chr(c) for c in range(33, 127) if PLAIN.match(chr(c))]
+    tried = "".join(a + b for a in marks for b in marks)
+    made = tokenizer.normalizer.normalize_str(tried) if tokenizer.normalizer else tried
+    cut = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(made)] if tokenizer.pre_tokenizer else [made]
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return cut == PIECE.findall(tried.lower()) and not any(PLAIN.fullmatch(t) for t in special)
+
+
+@lru_cache(maxsize=1)
+def word_ids(tokenizer_path: str) -> UnitCache:
+    """Word -> its ids as bytes; kept by the Python worker from task to task.
+
+    Plain words are cut here and only the model is asked, once for each piece; others go through the library whole."""
+    tokenizer = load_tokenizer(tokenizer_path)
+    model, plain = tokenizer.model, cuts_plainly(tokenizer)
+
+    def stored(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    piece = UnitCache(lambda p: stored([t.id for t in model.tokenize(p)]))
+
+    def encode(word: str) -> bytes:
+        if plain and PLAIN.fullmatch(word):
+            return b"".join(map(piece.__getitem__, PIECE.findall(word.lower())))
+        return stored(tokenizer.encode(word, add_special_tokens=False).ids)
+
+    return UnitCache(encode)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every document's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(tokenizer_path)
-        ids = UnitCache(lambda u: np.array(tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes())
+        ids = word_ids(tokenizer_path)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

@@ -124,6 +124,15 @@ def test_packing(docs):
     assert len(held) <= -(-sum(r["length"] for r in rows) // 4096) + 1
 
 
+def test_plain_words_as_the_library():
+    library, ids = tokens.load_tokenizer(vocabulary("word_bpe_49k.json")), packing.word_ids(vocabulary("word_bpe_49k.json"))
+    assert packing.cuts_plainly(library) and not packing.cuts_plainly(tokens.load_tokenizer(vocabulary("byte_bpe_50k.json")))
+    for _ in range(5000):
+        word = "".join(RNG.choice("aBzZ09'<>.,-|_!é\x1c") for _ in range(RNG.randint(1, 9)))
+        want = library.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(ids[word], "<u4").tolist() == want, word
+
+
 def test_program_is_near_the_bound():
     rng = np.random.default_rng(1)
     counts = collections.Counter(int(x) for x in np.clip(rng.lognormal(6, 1, 30_000), 1, 4096))

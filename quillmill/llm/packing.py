@@ -37,6 +37,8 @@ WORD = re.compile(r"[\S\x1c-\x1f]+")
 PLAIN = re.compile(r"[!-&(-;=-~]+")
 PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 CAPACITY = 4096
+#: Words of a worker's cache: about 150 MB.
+WORDS_KEPT = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are numbered in groups of about so many.
 GROUP_ROWS = 50_000
@@ -66,11 +68,13 @@ def word_ids(tokenizer_path: str) -> UnitCache:
     piece = UnitCache(lambda p: stored([t.id for t in model.tokenize(p)]))
 
     def encode(word: str) -> bytes:
+        if plain and word.isalpha() and word.isascii():
+            return piece[word.lower()]
         if plain and PLAIN.fullmatch(word):
             return b"".join(map(piece.__getitem__, PIECE.findall(word.lower())))
         return stored(tokenizer.encode(word, add_special_tokens=False).ids)
 
-    return UnitCache(encode)
+    return UnitCache(encode, size=WORDS_KEPT)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:

@@ -99,18 +99,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, en
 
 def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
     """Knapsack by dynamic programming: the multiset of lengths (ascending) that is worth most."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        if k := fits[c]:
-            values = worth[:k] + best[c - lengths[:k]]
-            j = int(values.argmax())
-            best[c], pick[c] = values[j], j
+    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    worth_of = np.full(capacity + 1, -np.inf)
+    worth_of[lengths] = worth
+    for c in range(int(lengths[0]), capacity + 1):
+        values = worth_of[1 : c + 1] + best[c - 1 :: -1]
+        j = int(values.argmax())
+        best[c], pick[c] = values[j], j + 1
     chosen: dict[int, int] = defaultdict(int)
     c = capacity
-    while c > 0 and pick[c] >= 0:
-        chosen[int(pick[c])] += 1
-        c -= int(lengths[pick[c]])
+    while pick[c]:
+        chosen[int(np.searchsorted(lengths, pick[c]))] += 1
+        c -= int(pick[c])
     return dict(chosen)
 
 
@@ -144,27 +144,35 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, **program) -> tupl
     for held, copies in groups:
         for x in held:
             left[x] -= copies
-    by_room: dict[int, list[list]] = defaultdict(list)
+    by_room: list[list[list]] = [[] for _ in range(capacity + 1)]
+    is_open = np.zeros(capacity + 1, dtype=bool)
+
+    def put(g: list) -> None:
+        room = capacity - sum(g[0])
+        by_room[room].append(g)
+        is_open[room] = True
+
     for g in groups:
-        by_room[capacity - sum(g[0])].append(g)
+        put(g)
     for x in sorted(left, reverse=True):  # best fit: the open sequences with the least room that suffices
         while left[x]:
-            room = next((r for r in sorted(by_room) if r >= x and by_room[r]), None)
-            if room is None:
+            room = x + int(is_open[x:].argmax())
+            if not is_open[room]:
                 per = min(capacity // x, left[x])
                 g = [[x] * per, left[x] // per]
                 groups.append(g)
                 left[x] -= per * g[1]
             else:
                 g = by_room[room].pop()
+                is_open[room] = bool(by_room[room])
                 if left[x] < g[1]:  # some of these sequences get the piece, the others stay as they are
                     rest = [list(g[0]), g[1] - left[x]]
                     groups.append(rest)
-                    by_room[room].append(rest)
+                    put(rest)
                     g[1] = left[x]
                 g[0].append(x)
                 left[x] -= g[1]
-            by_room[capacity - sum(g[0])].append(g)
+            put(g)
     if histogram.get(capacity):
         groups.append([[capacity], histogram[capacity]])
     slots, used, sequence = [], defaultdict(int), 0

@@ -2,9 +2,11 @@
 
 Pieces of `capacity` tokens are whole sequences. For the shorter ones the program "fewest sequences
 such that each length is covered" has a variable for each configuration (multiset of lengths that
-fits). Multiplicative weights give each length a price that falls as it is covered; a knapsack
-dynamic program finds the configuration worth most. The fractional answer is scaled to the counts
-and rounded down; what is left is packed best fit by length, also into the slack of configurations.
+fits). Rounds of a knapsack dynamic program over the lengths still open find configurations worth
+most, until every length is covered. If that takes over 0.1% (GAP) more than a proven lower bound,
+lengths in configurations with slack are priced higher and it is done again, three times in all;
+then the best answer stands, whole but maybe with a larger gap. The fractional answer is rounded
+down; what is left is packed best fit by length, also into the slack of configurations.
 All of this works on the histogram (at most `capacity` lengths), whatever the number of documents.
 
 Pieces are then numbered within their length and look up their place in a broadcast table of slots
@@ -42,6 +44,8 @@ WORDS_KEPT = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are numbered in groups of about so many.
 GROUP_ROWS = 50_000
+#: The program's answer may exceed its lower bound by this share.
+GAP = 0.001
 
 
 def cuts_plainly(tokenizer) -> bool:
@@ -97,8 +101,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, en
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
-def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: the multiset of lengths (ascending) that is worth most."""
+def best_values(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: for each room the most that lengths (ascending) in it are worth, and a length of that choice."""
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     worth_of = np.full(capacity + 1, -np.inf)
     worth_of[lengths] = worth
@@ -106,30 +110,66 @@ def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) ->
         values = worth_of[1 : c + 1] + best[c - 1 :: -1]
         j = int(values.argmax())
         best[c], pick[c] = values[j], j + 1
-    chosen: dict[int, int] = defaultdict(int)
-    c = capacity
-    while pick[c]:
-        chosen[int(np.searchsorted(lengths, pick[c]))] += 1
-        c -= int(pick[c])
-    return dict(chosen)
-
-
-def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, rounds: int = 150, rate: float = 4.0) -> list[tuple[dict[int, int], int]]:
-    """(configuration by index of length, copies): the multiplicative-weights answer, rounded down."""
-    covered, uses = np.zeros(len(lengths)), defaultdict(float)
-    kept: dict[tuple, dict[int, int]] = {}
-    for _ in range(rounds if counts.sum() >= 2000 else 0):
-        config = best_configuration(lengths, lengths / capacity * np.exp(-rate * covered), capacity)
-        index, times = np.array(list(config)), np.array(list(config.values()))
-        most = float((counts[index] / times).min())
-        uses[key := tuple(sorted(config.items()))] += 0.5 * most
-        kept[key] = config
-        covered[index] += 0.5 * most * times / counts[index]
-    scale, left, out = 1 / max(1.0, covered.max(initial=0)), counts.copy(), []
+    return best, pick
+
+
+def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> float:
+    """Most that dual prices 1 (over capacity - k), length / capacity or 0 (under k) prove, over all k: no program needs less."""
+    prices = (np.where(lengths > capacity - k, 1.0, np.where(lengths >= k, lengths / capacity, 0.0)) for k in range(capacity // 2 + 1))
+    return max((float(p @ counts) for p in prices), default=0.0)
+
+
+def cover_all(lengths: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[dict[tuple, float], float]:
+    """Configuration -> copies, such that each length is covered exactly, and the bound that these prices prove.
+
+    A pricing round takes, for each open length from the longest, the configuration worth most that has it,
+    as often as the lengths in it last; each use closes a length, so there are at most as many rounds."""
+    left, uses, bound = counts.astype(float), defaultdict(float), 0.0
+    at = np.zeros(capacity + 1, dtype=np.int64)
+    at[lengths] = np.arange(len(lengths))
+    while len(still := np.flatnonzero(left > 0)):
+        best, pick = best_values(lengths[still], worth[still], capacity)
+        bound = bound or float(worth @ counts) / best[capacity]  # in the first round all lengths are priced
+        for i in still[::-1]:
+            config: dict[int, int] = defaultdict(int, {int(i): 1})
+            c = capacity - int(lengths[i])
+            while pick[c]:
+                config[int(at[pick[c]])] += 1
+                c -= int(pick[c])
+            most = min(left[k] / n for k, n in config.items())
+            if most > 0:
+                uses[tuple(sorted(config.items()))] += most
+                for k, n in config.items():
+                    left[k] = left[k] - n * most if left[k] > n * most + 1e-9 else 0.0
+    return uses, bound
+
+
+def solve_fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, *, rounds: int = 3, gap: float = GAP) -> tuple[dict[tuple, float], float]:
+    """Copies of configurations that cover each length, and their sum's distance from a proven bound, as a share of it."""
+    worth, bound, best, value = (lengths / capacity) ** 1.3, lower_bound(lengths, counts, capacity), {}, np.inf
+    for _ in range(rounds):
+        uses, proven = cover_all(lengths, counts, worth, capacity)
+        bound = max(bound, proven)
+        if sum(uses.values()) < value:
+            best, value = uses, sum(uses.values())
+        if value <= (1 + gap) * bound:
+            break
+        lost = np.zeros(len(lengths))
+        for config, x in uses.items():
+            for i, n in config:
+                lost[i] += n * x * (1 - sum(int(lengths[k]) * m for k, m in config) / capacity)
+        worth = worth * np.exp(lost / counts)
+    return best, value / bound - 1
+
+
+def solve_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, **program) -> list[tuple[dict[int, int], int]]:
+    """(configuration by index of length, copies): the fractional answer, rounded down."""
+    uses, _ = solve_fractional(lengths, counts, capacity, **program)
+    left, out = counts.copy(), []
     for key, x in sorted(uses.items(), key=lambda item: -item[1]):
-        copies = min([round(x * scale), *(int(left[i] // n) for i, n in key)])
+        copies = min([int(x + 1e-6), *(int(left[i] // n) for i, n in key)])
         if copies:
-            out.append((kept[key], copies))
+            out.append((dict(key), copies))
             for i, n in key:
                 left[i] -= n * copies
     return out

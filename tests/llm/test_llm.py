@@ -144,6 +144,28 @@ def test_program_is_near_the_bound():
     assert used == counts
 
 
+def test_program_covers_every_length():
+    rng = np.random.default_rng(2)
+    for capacity, size in ((4096, 300), (256, 40_000)):  # few pieces; many
+        counts = collections.Counter(int(x) for x in np.clip(rng.lognormal(np.log(capacity) - 3, 1, size), 1, capacity - 1))
+        lengths, n = np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)])
+        uses, gap = packing.solve_fractional(lengths, n, capacity)
+        covered = np.zeros(len(n))
+        for config, x in uses.items():
+            assert sum(lengths[i] * k for i, k in config) <= capacity
+            for i, k in config:
+                covered[i] += k * x
+        bound = sum(k * m for k, m in counts.items()) / capacity
+        assert np.allclose(covered, n) and 0 <= gap and sum(uses.values()) <= 1.02 * bound + 1
+        placed = sum(lengths[i] * k * m for config, m in packing.solve_program(lengths, n, capacity) for i, k in config.items())
+        assert 0 < placed <= lengths @ n and (size < 1000 or placed > 0.9 * lengths @ n)
+
+
+def test_program_bounds_by_force():
+    assert packing.lower_bound(np.array([30, 60]), np.array([5, 4]), 100) == 4 and packing.lower_bound(np.array([50]), np.array([3]), 100) == 1.5
+    assert packing.solve_fractional(np.array([60]), np.array([7]), 100)[1] == 0
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://b.example/x?q=1", "same"), (3, "https://www.a.example/", "same"), (9, None, None), (8, "http://a.example/é ü", ""), (7, "http://a.example/", "é" * 9), (7, "http://a.example/", "é" * 9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))

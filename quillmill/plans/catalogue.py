@@ -8,6 +8,7 @@ Documents stand in for paper texts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,9 @@ def order_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return graph.build_graph(order_papers(spark, sf_dir), fuzzy=False)
+def _graph(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SQL can't say the fuzzy merge: the queries with SQL are of the graph before it, those named _merged after it."""
+    return graph.build_graph(order_papers(spark, sf_dir), fuzzy=fuzzy)
 
 
 def rank_datasets(spark, sf_dir):
@@ -59,8 +61,8 @@ def rank_raw_baselines(spark, sf_dir):
     return analytics.ranked_values(order_papers(spark, sf_dir), "baselines", raw=True)
 
 
-def most_connected(spark, sf_dir):
-    return analytics.most_connected_papers(*_graph(spark, sf_dir))
+def most_connected(spark, sf_dir, fuzzy=False):
+    return analytics.most_connected_papers(*_graph(spark, sf_dir, fuzzy))
 
 
 def shared_benchmarks(spark, sf_dir):
@@ -71,20 +73,20 @@ def keyword_clusters(spark, sf_dir):
     return analytics.keyword_clusters(order_papers(spark, sf_dir)).select("keyword", "paper_count", F.array_join("papers", ",").alias("papers"))
 
 
-def graph_nodes(spark, sf_dir):
-    return _graph(spark, sf_dir)[0].select("id", "label", "type", "paper_id", "year", "color")
+def graph_nodes(spark, sf_dir, fuzzy=False):
+    return _graph(spark, sf_dir, fuzzy)[0].select("id", "label", "type", "paper_id", "year", "color")
 
 
-def graph_edges(spark, sf_dir):
-    return _graph(spark, sf_dir)[1].select("source", "target", "relation")
+def graph_edges(spark, sf_dir, fuzzy=False):
+    return _graph(spark, sf_dir, fuzzy)[1].select("source", "target", "relation")
 
 
-def node_degrees(spark, sf_dir):
-    return graph.with_degree(*_graph(spark, sf_dir)).select("id", "degree")
+def node_degrees(spark, sf_dir, fuzzy=False):
+    return graph.with_degree(*_graph(spark, sf_dir, fuzzy)).select("id", "degree")
 
 
-def nodes_by_type(spark, sf_dir):
-    return _graph(spark, sf_dir)[0].groupBy("type").agg(F.count("*").alias("n"))
+def nodes_by_type(spark, sf_dir, fuzzy=False):
+    return _graph(spark, sf_dir, fuzzy)[0].groupBy("type").agg(F.count("*").alias("n"))
 
 
 def list_values(spark, sf_dir):
@@ -100,23 +102,23 @@ def papers_to_frame(spark, sf_dir):
     return analytics.papers_to_frame(order_papers(spark, sf_dir)).select("paper_id", "title", "year", "task", "method", "datasets")
 
 
-def node_view(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+def node_view(spark, sf_dir, fuzzy=False):
+    nodes, edges = _graph(spark, sf_dir, fuzzy)
     return analytics.node_view(nodes, edges, types=["Dataset", "Keyword", "Baseline"], least_degree=2, keyword="b", limit=40).select("id", "label", "type", "degree")
 
 
-def edge_view(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+def edge_view(spark, sf_dir, fuzzy=False):
+    nodes, edges = _graph(spark, sf_dir, fuzzy)
     shown = analytics.node_view(nodes, edges, types=["Paper", "Dataset", "Metric"], least_degree=12, limit=200)
     return analytics.edge_view(edges, shown).select("source", "target", "relation")
 
 
-def top_datasets(spark, sf_dir):
-    return analytics.top_datasets(*_graph(spark, sf_dir))
+def top_datasets(spark, sf_dir, fuzzy=False):
+    return analytics.top_datasets(*_graph(spark, sf_dir, fuzzy))
 
 
-def keyword_papers(spark, sf_dir):
-    return analytics.keyword_papers(*_graph(spark, sf_dir), "BOLT")
+def keyword_papers(spark, sf_dir, fuzzy=False):
+    return analytics.keyword_papers(*_graph(spark, sf_dir, fuzzy), "BOLT")
 
 
 def shared_pairs(spark, sf_dir):
@@ -249,10 +251,11 @@ _QUERIES = [
     node_view, edge_view, top_datasets, keyword_papers, shared_pairs, known_terms, builtin_keywords, builtin_records, dehyphenate, page_number_lines, truncate, safe_filename, first_sentence, canonical_keys, alias_labels,
     fuzzy_labels, merged_chunks, missing_fields, quality_warnings, quality_report, section_spans, section_chunks, page_noise, clean_texts, metadata_only, pending_texts, run_stamp,
 ]
+_OF_GRAPH = [most_connected, graph_nodes, graph_edges, node_degrees, nodes_by_type, node_view, edge_view, top_datasets, keyword_papers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {f"{f.__name__}_merged": partial(f, fuzzy=True) for f in _OF_GRAPH}
 
 
 _LINES = """WITH l AS (SELECT o_orderkey AS pos, CAST(o_orderkey AS VARCHAR) AS pid, CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderpriority AS task, p_brand, p_type, p_name, l_returnflag,

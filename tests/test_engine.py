@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.operators import analytics, entities, extract, graph, providers, quality, sections
-from quillmill.plans import pipeline
+from quillmill.plans import catalogue, pipeline
 from quillmill.schema import CLEANER_HEADINGS, PAPER_FIELDS, SECTION_ALIASES
 from quillmill.sinks import exports
 from quillmill.sources import files
@@ -65,6 +65,20 @@ def test_fuzzy_merge_is_first_match_in_order(spark):
         assert [got[k] for k in range(25)] == greedy(seen)
 
 
+def test_registered_graph_is_merged(spark, tmp_path):
+    names = ["old widget", "cold widget", "red bolt", "old widget", "cold widget"]
+    spark.createDataFrame([(k, 1, k, 1, 1.0, "R") for k in range(5)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "Brand#1", "T", x) for k, x in enumerate(names)], "p_partkey long, p_brand string, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("SELECT id AS o_orderkey, DATE '2020-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(5)").write.parquet(f"{tmp_path}/orders.parquet")
+    ask = lambda name: catalogue.queries()[name](spark, str(tmp_path))
+    want = greedy(names)
+    assert {r["label"] for r in ask("graph_nodes_merged").where("type = 'Keyword'").collect()} == set(want) == {"old widget", "red bolt"}
+    edges = {(r["source"], r["target"]) for r in ask("graph_edges_merged").where("relation = 'related_to'").collect()}
+    assert edges == {(f"paper:{k}", "keyword:" + x.replace(" ", "_")) for k, x in enumerate(want)}
+    assert {r["id"]: r["degree"] for r in ask("node_degrees_merged").collect()}["keyword:old_widget"] == 4
+    assert ask("graph_nodes").where("type = 'Keyword'").count() == 3
+
+
 def test_rankings_and_benchmarks(spark):
     df = papers(spark, {"datasets": ["Cora", "cora", "Cora"]}, {"datasets": ["Cora", "image net"]}, {"datasets": ["ImageNet"]})
     assert [tuple(r) for r in analytics.ranked_values(df, "datasets").collect()] == [("Cora", 3), ("ImageNet", 2), ("cora", 1)]

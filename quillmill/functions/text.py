@@ -71,19 +71,19 @@ def clean_text(text: Column, *, unicode: bool = True) -> Column:
 
 def drop_page_noise(pages: Column, edge_lines: int = 3) -> Column:
     """Pages without lines that repeat at their edges and without page numbers; fewer than three pages stay."""
-    least = F.greatest(F.lit(3), F.floor(F.size(pages) * F.lit(0.35)).cast("int"))
-
     def edges_of(filled: Column) -> Column:
         return F.flatten(F.transform(filled, lambda x: F.concat(F.slice(x, 1, edge_lines), F.slice(x, F.greatest(F.lit(1), F.size(x) - (edge_lines - 1)), edge_lines))))
 
-    def noise_in(edges: Column) -> Column:
-        return F.filter(F.array_distinct(edges), lambda x: (F.size(F.filter(edges, lambda y: y == x)) >= least) & (F.length(x) <= 140) & ~is_heading(x))
+    def noise_in(edges: Column, n_pages: Column) -> Column:
+        least = F.greatest(F.lit(3), F.floor(n_pages * F.lit(0.35)).cast("int"))
+        often = let(F.array_sort(edges), lambda s: F.array_distinct(F.filter(s, lambda x, k: F.get(s, k + least - 1) == x)))
+        return F.filter(often, lambda x: (F.length(x) <= 140) & ~is_heading(x))
 
     def without(filled: Column, noise: Column) -> Column:
         return F.transform(filled, lambda p: F.array_join(F.filter(p, lambda x: ~F.array_contains(noise, x) & ~is_page_number(x)), "\n"))
 
     filled = F.transform(pages, lambda p: F.filter(F.transform(lines_of(p), collapse_ends), lambda x: x != ""))
-    kept = let(filled, lambda f: let(let(edges_of(f), noise_in), lambda noise: without(f, noise)))
+    kept = let(filled, lambda f: let(let(edges_of(f), lambda e: noise_in(e, F.size(f))), lambda noise: without(f, noise)))
     return F.when(F.size(pages) < 3, pages).otherwise(kept)
 
 

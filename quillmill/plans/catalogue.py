@@ -224,8 +224,10 @@ def section_chunks(spark, sf_dir):
 
 
 def page_noise(spark, sf_dir):
+    """The whole text in pages of 200 characters, at least four."""
     head, foot = F.lit("Journal of Things\n"), F.lit("\n12")
-    pages = F.array(*[F.concat(head, F.substring("text", F.lit(1 + 200 * k), F.lit(200)), foot) for k in range(4)])
+    last = F.greatest(F.lit(3), F.ceil(F.length("text") / 200).cast("int") - 1)
+    pages = F.transform(F.sequence(F.lit(0), last), lambda k: F.concat(head, F.substring("text", 1 + 200 * k, F.lit(200)), foot))
     return _docs(spark, sf_dir).select("doc_id", F.array_join(T.drop_page_noise(pages), "\f").contains("Journal").alias("left"), F.array_join(T.drop_page_noise(pages), "\f").rlike(r"(?m)^12$").alias("number_left"))
 
 

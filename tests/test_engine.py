@@ -111,6 +111,16 @@ def test_page_noise_against_python(spark):
         assert got == python_noise(pages)
 
 
+def test_page_noise_reads_whole_texts(spark, tmp_path):
+    texts = ["x" * 1950 + " Journal y", "z " * 2000, "short", "", "a" * 795 + "Journal"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["left"], r["number_left"]) for r in catalogue.page_noise(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        kept = python_noise([f"Journal of Things\n{t[200 * i : 200 * i + 200]}\n12" for i in range(max(4, -(-len(t) // 200)))])
+        assert got[k] == (any("Journal" in p for p in kept), any("12" in p.split("\n") for p in kept)), k
+    assert got[0] == (True, False) and got[1] == (False, False)
+
+
 def test_sections_and_chunks(spark):
     text = "\nAbstract\nWe study.\n1. Introduction\nHello\n\nthere\nIV. Methods\nm\nResults:\nr\nReferences\n[1] x\nConclusion\nno"
     df = sections.sections(spark.createDataFrame([("a", text), ("b", "plain\ntext"), ("c", None)], "paper_id string, text string"))

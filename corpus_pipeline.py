@@ -28,9 +28,9 @@ def pass_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group: shingles of five words, similarity 0.8."""
-    kept = near_dedup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keeps the document of the smallest id of each group: shingles of five words, similarity 0.8. Of rows that
+    repeat this document one is kept; rows with a null id or without words are in no group and all kept."""
+    return near_dedup.near_duplicates(docs, width=5, percent=80, carry=True).where("kept").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

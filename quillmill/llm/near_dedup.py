@@ -62,8 +62,12 @@ def shingle_set(words: list[bytes], hashes: dict, width: int) -> np.ndarray:
     return np.unique(s * MIX[-1])
 
 
-def shingle_sets(docs: DataFrame, *, width: int, rows: int, bands: int, seed: int = 17) -> DataFrame:
-    """doc_id, n_shingles, hi and lo (hash of the set), set (the hashes), keys (one for each band)."""
+def shingle_sets(docs: DataFrame, *, width: int, rows: int, bands: int, seed: int = 17, carry: bool = False) -> DataFrame:
+    """doc_id, n_shingles, hi and lo (hash of the set), set (the hashes), keys (one for each band); with
+    `carry` also row_no (unique, stable once stored) and the whole row, as struct `row`."""
+    more = [F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("row")] if carry else []
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *more)
+    extra = parts.columns[2:]
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
@@ -98,9 +102,10 @@ def shingle_sets(docs: DataFrame, *, width: int, rows: int, bands: int, seed: in
                     else:
                         keys.append(np.zeros(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sets, pa.binary()), lists], ["doc_id", "n_shingles", "hi", "lo", "set", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sets, pa.binary()), lists, *batch.columns[2:]], ["doc_id", "n_shingles", "hi", "lo", "set", "keys", *extra])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(make, "doc_id long, n_shingles long, hi long, lo long, set binary, keys array<long>")
+    kinds = "".join(f", {c} {parts.schema[c].dataType.simpleString()}" for c in extra)
+    return parts.mapInArrow(make, "doc_id long, n_shingles long, hi long, lo long, set binary, keys array<long>" + kinds)
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -172,21 +177,29 @@ def links_in(ids: list[np.ndarray], sets: list[list[np.ndarray]], percent: int)
     return out
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every document."""
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS, carry: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every document; with `carry` also
+    the whole row, as struct `row`, and of rows that repeat a doc_id with the same set only one is kept."""
     rows, bands = bands_for(percent / 100)
-    sets = written(shingle_sets(docs, width=width, rows=rows, bands=bands), "sets")
-    classes = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")), "classes")
+    sets = written(shingle_sets(docs, width=width, rows=rows, bands=bands, carry=carry), "sets")
+    chosen = [F.min(F.struct("doc_id", "row_no"))["row_no"].alias("chosen")] if carry else []
+    classes = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"), *chosen), "classes")
     buckets = classes.select("rep", F.explode("keys").alias("key"))
     least = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     stars = buckets.join(least, "key").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     groups = written(components(stars), "groups")
     links = written(_confirmed(sets, classes, groups, percent, block, broadcast_ids), "links")
     roots = components(links)
-    ends = classes.select("hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"))
-    out = sets.select("doc_id", "n_shingles", "hi", "lo").join(ends, ["hi", "lo"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    more = ["chosen"] if carry else []
+    ends = classes.select("hi", "lo", "rep", *more).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("root"), *more)
+    out = sets.select("doc_id", "n_shingles", "hi", "lo", *["row_no" for _ in more]).join(ends, ["hi", "lo"], "left")
+    linked_up = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(linked_up, F.col("root")).otherwise(F.col("doc_id"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    if not carry:
+        return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    kept = kept & (~linked_up | (F.col("row_no") == F.col("chosen")))
+    return out.select("row_no", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")).join(sets.select("row_no", "row"), "row_no").drop("row_no")
 
 
 def _confirmed(sets: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, block: int, broadcast_ids: int) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillmill.llm import chat, cotraining, decontam, main_text, near_dedup, packing, quality_rules, tokens, url_filter, warc
 from quillmill.llm.queries import URL_RULES, vocabulary
 
@@ -87,6 +88,19 @@ def test_near_duplicates_of_nothing(docs):
     assert near_dedup.near_duplicates(docs("a").limit(0)).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    a, b = sentence(80), sentence(80)
+    near = a + " more"
+    rows = [(4, a), (4, a), (4, a), (9, near), (9, near), (2, b), (7, b), (None, a), (None, a), (None, None), (11, ""), (11, ""), (12, "one"), (13, sentence(50))]
+    docs = spark.createDataFrame([(i, t, "en", "src0", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    named = sorted((i, t) for i, t in rows if i is not None and t)
+    groups = components_by_force([t for _, t in named], 5, 80)  # by place, so that the root has the smallest id
+    want = [named[k] for k, (_, root) in groups.items() if k == root] + [(i, t) for i, t in rows if i is None or not t]
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(want)
+
+
 def test_stars_reach_the_smallest(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 150), (99, 150), (7, 7)]
     got = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}

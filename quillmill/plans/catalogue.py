@@ -153,7 +153,9 @@ def dehyphenate(spark, sf_dir):
 
 
 def page_number_lines(spark, sf_dir):
-    at = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("- 12 -"), F.lit("123"), F.lit("12345"), F.lit("— 7"), F.concat(F.lit(" "), (F.col("doc_id") % 20000).cast("string"), F.lit("\t")), F.left("text", F.lit(9)))).alias("line"))
+    """Of all lines of each text and some that are made up. The SQL looks at the first nine characters only."""
+    made = F.array(F.lit("- 12 -"), F.lit("123"), F.lit("12345"), F.lit("— 7"), F.concat(F.lit(" "), (F.col("doc_id") % 20000).cast("string"), F.lit("\t")))
+    at = _docs(spark, sf_dir).select("doc_id", F.explode(F.concat(made, T.lines_of(F.coalesce("text", F.lit(""))))).alias("line"))
     return at.where(T.is_page_number(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -162,7 +164,8 @@ def truncate(spark, sf_dir):
 
 
 def safe_filename(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.safe_filename(F.left(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("a"), F.lit("/")), F.lit(300)), 60).alias("name"))
+    """Of the whole text. The SQL cuts it to 300 characters first."""
+    return _docs(spark, sf_dir).select("doc_id", T.safe_filename(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("a"), F.lit("/")), 60).alias("name"))
 
 
 def first_sentence(spark, sf_dir):

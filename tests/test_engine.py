@@ -121,6 +121,14 @@ def test_page_noise_reads_whole_texts(spark, tmp_path):
     assert got[0] == (True, False) and got[1] == (False, False)
 
 
+def test_lines_and_names_of_whole_texts(spark, tmp_path):
+    texts = ["some words\n- 3 -\nmore\n 44 \n55555", "?" * 400 + "name", None, "no number"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n"] for r in catalogue.page_number_lines(spark, str(tmp_path)).collect()}
+    assert got == {0: 6, 1: 4, 2: 4, 3: 4}
+    assert {r["doc_id"]: r["name"] for r in catalogue.safe_filename(spark, str(tmp_path)).collect()}[1] == "nme"
+
+
 def test_sections_and_chunks(spark):
     text = "\nAbstract\nWe study.\n1. Introduction\nHello\n\nthere\nIV. Methods\nm\nResults:\nr\nReferences\n[1] x\nConclusion\nno"
     df = sections.sections(spark.createDataFrame([("a", text), ("b", "plain\ntext"), ("c", None)], "paper_id string, text string"))

@@ -83,11 +83,11 @@ def records_in(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
 
 
 def revisits(pages: DataFrame, *, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id and refers_to of the pages whose payload an earlier page id has."""
+    """page_id, digest and refers_to of the pages whose payload an earlier page id has."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     seen = pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= min_revisit_bytes).select("page_id", "digest")
     first = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
-    return seen.join(first.drop("last"), "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return seen.join(first.drop("last"), "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, *, min_revisit_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -95,7 +95,8 @@ def write_archives(pages: DataFrame, *, min_revisit_bytes: int = 0, broadcast_ro
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
     again = written(revisits(pages, min_revisit_bytes=min_revisit_bytes), "revisits")
     again = F.broadcast(again) if again.count() <= broadcast_rows else again
-    rows = pages.join(again, "page_id", "left")
+    digest = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    rows = pages.withColumn("digest", digest).join(again, ["page_id", "digest"], "left")  # rows may share a page_id
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -189,6 +189,14 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_rows_that_share_a_page_id(spark):
+    rows = [(1, "u", "a"), (2, "u", "b"), (5, "u", "a"), (5, "u", "own"), (6, "u", "a"), (6, "u", "b")]
+    got = collections.Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    d = lambda t: warc.digest_of(t.encode())
+    want = [(1, d("a"), "response", None), (2, d("b"), "response", None), (5, d("a"), "revisit", 1), (5, d("own"), "response", None), (6, d("a"), "revisit", 1), (6, d("b"), "revisit", 2)]
+    assert got == collections.Counter(want)
+
+
 def test_loser_tree_merges():
     runs = [sorted((RNG.randrange(50), k) for _ in range(RNG.randrange(9))) for k in range(7)]
     assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r) and list(warc.LoserTree([])) == []

@@ -1,4 +1,4 @@
-"""What the training-data operators share: table access, shared storage and word rules."""
+"""What the training-data operators share: table access, shared storage, joins on hot keys and word rules."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule: a word is a longest run of other characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: A key with more rows than this, and than this share of all rows, is dealt to several tasks.
+HOT_ROWS, HOT_SHARE = 500, 1e-4
+
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,36 +21,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one for a local
+    master (driver and executors are one process); on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.gettempdir()}/quillmill-shared"
-        spark.conf.set("spark.checkpoint.dir", path) if _settable(spark) else None
     return path.rstrip("/")
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return spark.conf.isModifiable("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001 - an old session has no such question
-        return False
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the folder of a table made by `written`, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quillmill-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
+        _made.remove(folder)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the folders of tables made by `written`, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/quillmill-" in folder:
+                remove(df.sparkSession, folder)
+
+
+def made_so_far() -> list[str]:
+    """Folders that `written` has made and nobody has removed."""
+    return list(_made)
+
+
+def remove_since(spark: SparkSession, before: list[str]) -> None:
+    """Remove what `written` made after `before` was taken."""
+    for folder in set(made_so_far()) - set(before):
+        remove(spark, folder)
+
+
+def hot_rows(total: int) -> int:
+    return max(HOT_ROWS, int(total * HOT_SHARE))
+
+
+def parts_of(counted: DataFrame, key: str, n: str, most: int) -> DataFrame:
+    """(key, parts) of keys with more than `most` rows; with `most` from `hot_rows` there are at most 1 / HOT_SHARE."""
+    return counted.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """left joined with right (one row a key) on `key`. Rows of `left` with a key of `hot` (key, parts), a table of
+    bounded size, are dealt to `parts` tasks by a hash of `by`; right's row is repeated for each of them."""
+    hot = F.broadcast(hot.select(key, "parts"))
+    dealt = left.join(hot, key, "left").withColumn("part_no", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("parts"))).cast("int")).drop("parts")
+    each = right.join(hot, key, "left").withColumn("part_no", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(each, [key, "part_no"], how).drop("part_no")
 
 
 def words_of(text: Column) -> Column:

@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmill.llm import chat, cotraining, decontam, main_text, near_dedup, packing, quality_rules, tokens, url_filter, warc
+from quillmill.llm import base, chat, cotraining, decontam, main_text, near_dedup, packing, quality_rules, tokens, url_filter, warc
 from quillmill.llm.queries import URL_RULES, vocabulary
 
 LONG = " ".join(f"w{k % 997}" for k in range(20_000))
@@ -88,6 +89,47 @@ def test_near_duplicates_of_nothing(docs):
     assert near_dedup.near_duplicates(docs("a").limit(0)).count() == 0
 
 
+def test_links_between_blocks_by_force():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 2**63, 100, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, 100, dtype=np.uint64)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = [np.unique(np.r_[base[: 400 - k], rng.integers(0, 2**63, k).astype(np.uint64)]) for k in (0, 5, 30, 60, 120, 200) for _ in range(3)]
+    block = pd.DataFrame({"rep": range(len(sets)), "comp": [k % 4 for k in range(len(sets))], "set": sets, "sig": [near_dedup.signature(s, a, b).tobytes() for s in sets]})
+    root = list(range(4))
+    for band in range(20):
+        for x, y in near_dedup.links_between(block, block, band, 5, near_dedup.least_share(0.85, 100), 85):
+            x, y = sorted((root[x % 4], root[y % 4]))
+            root = [x if r == y else r for r in root]
+    want = list(range(4))
+    for x in range(len(sets)):
+        for y in range(x):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * both >= 85 * (len(sets[x]) + len(sets[y]) - both):
+                p, q = sorted((want[x % 4], want[y % 4]))
+                want = [p if r == q else r for r in want]
+    assert root == want
+
+
+def test_recall_at_the_threshold():
+    """Pairs just at 0.85: none of 300 fails to share a band or falls below the signatures' bound."""
+    rows, bands = near_dedup.bands_for(0.85)
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
+    for _ in range(300):
+        both, own = rng.integers(0, 2**63, 170).astype(np.uint64), rng.integers(0, 2**63, (2, 15)).astype(np.uint64)
+        x, y = (near_dedup.signature(np.unique(np.r_[both, o]), a, b) for o in own)
+        assert (x == y).reshape(bands, rows).all(1).any() and (x == y).mean() >= near_dedup.least_share(0.85, rows * bands)
+
+
+def test_hot_keys_are_dealt(spark):
+    left = spark.createDataFrame([(k % 7 if k > 50 else 0, k) for k in range(100)], "key long, v long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(5)], "key long, name string")
+    counted = left.groupBy("key").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        out = base.spread_join(left, right, "key", base.parts_of(counted, "key", "n", 10), F.col("v"), how)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, left.join(right, "key", how).collect()), key=str)
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     a, b = sentence(80), sentence(80)
     near = a + " more"

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import cotraining, decontam, near_dedup, packing, quality_rules
-from quillmill.llm.base import shared_dir, table
+from quillmill.llm.base import made_so_far, remove, remove_since, shared_dir, table
 from quillmill.llm.queries import vocabulary
 
 
@@ -23,8 +23,7 @@ def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pass_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the co-trained classifier rejects."""
-    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
-    return cotraining.score(docs, model, carry=True).where("kept").select("row.*")
+    return cotraining.classify(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. What stages store, and each stage's result once the next one has been stored, is removed."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/quillmill-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
+        before = made_so_far()
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{k}")
+        remove_since(spark, before)
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
     return docs

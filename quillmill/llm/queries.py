@@ -44,8 +44,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

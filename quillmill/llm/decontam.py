@@ -6,31 +6,37 @@
    step sums the tasks' products), gives `rank` latent directions.
 3. Every window of every document is folded in and compared by cosine with every passage; all windows
    at or above `cosine` are candidates. The index is broadcast (words x rank), the corpus only mapped.
-4. A candidate is confirmed if it has at least `paraphrase` of the item's IDF weight and the longest common subsequence of words with the item is at least
-   `verbatim` of it, or at least `paraphrase` of it and the item's answer (the column `answer`, else
-   its last sentence) is there to `answered`.
+4. A candidate is confirmed if it has at least `paraphrase` of the item's IDF weight, and the longest
+   common subsequence of words with the item is at least `verbatim` of it, or at least `paraphrase` of
+   it and the item's answer (the column `answer`, else its last sentence) is there to `answered`.
 
 The broadcast index is bounded: a benchmark with more than `max_words` distinct words is dealt into
-blocks of items, which are searched one after the other; results are the union.
+blocks of items. Blocks are read, indexed, broadcast and searched one after the other, each with a
+pass over the corpus for frequencies and one for the search; results are the union.
 
-Defined cases: null or empty texts are kept; items without words are never found; repeated rows are
-judged alike; an empty benchmark keeps everything; an empty table gives an empty result.
+Defined cases: null or empty texts are kept; very long texts are searched whole, some windows at a time;
+items without words are never found; items that share an id are searched each and found under it;
+equal shares need no order, item_ids are sorted; repeated rows are judged alike; an empty benchmark
+keeps everything; an empty table gives an empty result; extra columns are ignored, or carried in `row`.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.llm.base import written
+
 WINDOW, STRIDE = 64, 32
 RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
 COSINE, VERBATIM, PARAPHRASE, ANSWERED = 0.5, 0.7, 0.5, 0.8
@@ -43,6 +49,8 @@ NEITHER = r"[^\p{L}\p{N}\p{Z}\s\x0b\x1c-\x1f\x{85}]+"
 #: Windows that are first checked as one.
 TOGETHER = 8
 SLICE = 500
+#: Cosines that are held at a time.
+COSINES = 2_000_000
 
 
 def split_words(texts: pa.Array) -> pa.ListArray:
@@ -152,16 +160,32 @@ def latent_directions(items: DataFrame, rows: dict[str, int], idf: np.ndarray, *
     return q[:, : min(rank, int((values > 1e-9 * max(values.max(initial=0), 1e-30)).sum()))]
 
 
-def build_index(docs: DataFrame, items: DataFrame, *, rank: int = RANK) -> Index | None:
-    """The index of one block of items (item_id, text, answer)."""
-    held = [(r["item_id"], words(r["text"]), words(r["answer"]) or words(answer_of(r["text"] or ""))) for r in items.collect()]
-    held = sorted((h for h in held if h[1]), key=lambda h: (h[0], h[1]))
+Item = tuple[int | None, str, str]
+
+
+def blocks_of(items: DataFrame, max_words: int) -> Iterator[list[Item]]:
+    """Items (id, text, answer) with words, in blocks of at most `max_words` distinct words (an item of its own may have
+    more). The driver holds one block at a time."""
+    held, seen = [], set()
+    for r in items.where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        own = set(words(r["text"]))
+        if held and len(seen | own) > max_words:
+            yield held
+            held, seen = [], set()
+        if own:
+            held.append((r["item_id"], r["text"], r["answer"]))
+            seen |= own
+    if held:
+        yield held
+
+
+def build_index(docs: DataFrame, items: list[Item], n_docs: int, *, rank: int = RANK) -> Index:
+    """The index of one block of items; one pass over `docs` (text) for document frequencies."""
+    held = [(item, words(text), words(answer) or words(answer_of(text))) for item, text, answer in items]
     rows = {w: k + 1 for k, w in enumerate(sorted({w for _, text, _ in held for w in text}))}
-    if not rows:
-        return None
-    n = docs.count()
-    idf = np.log((1 + n) / (1 + _document_frequencies(docs, rows))) + 0.05
-    directions = latent_directions(items.where("text is not null"), rows, idf, rank=rank)
+    idf = np.log((1 + n_docs) / (1 + _document_frequencies(docs, rows))) + 0.05
+    spark = docs.sparkSession
+    directions = latent_directions(spark.createDataFrame([(text,) for _, text, _ in items], "text string"), rows, idf, rank=rank)
     vectors = np.ascontiguousarray(directions * idf[:, None], np.float32)
     vectors[0] = 0
     listed, passages, item_of = [], [], []
@@ -203,9 +227,12 @@ class Search:
                 sums[k : k + FOLD_BLOCKS] = (one @ vectors.take(part, axis=0).reshape(-1, STRIDE, vectors.shape[1]))[:, 0]
             full = len(range(0, n - WINDOW, STRIDE))
             folded = np.concatenate([sums[:full] + sums[1 : full + 1], vectors[own[n - WINDOW :]].sum(0, keepdims=True)])
-        cosines = folded @ self.index.passages.T
-        at, passage = np.nonzero(cosines >= self.cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", folded, folded)), 1e-9)[:, None])
-        return at, self.index.item_of[passage]
+        least = self.cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", folded, folded)), 1e-9)[:, None]
+        found, step = [], max(1, COSINES // len(self.index.passages))
+        for k in range(0, len(folded), step):
+            at, passage = np.nonzero(folded[k : k + step] @ self.index.passages.T >= least[k : k + step])
+            found.append((at + k, self.index.item_of[passage]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def weight(self, span: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Weight of each item's words that are in the span."""
@@ -258,31 +285,45 @@ def common_subsequence(a: np.ndarray, b: np.ndarray, masks: dict[int, int] | Non
     return len(a) - v.bit_count()
 
 
+def leaks_in(text: Column, index: Index, **how: float) -> Column:
+    """struct<item_ids, share> of the items of one block that are found in a text."""
+    shared = SparkSession.active().sparkContext.broadcast(index)
+
+    def look(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        search = Search(shared.value, **how)
+        for batch in texts:
+            ids, shares = [], []
+            for at in range(0, len(batch), SLICE):
+                for own in search.ids.of(pc.fill_null(batch.slice(at, SLICE), "")):
+                    found = search.leaks(own)
+                    ids.append(sorted(found, key=lambda x: (x is not None, x)))
+                    shares.append(max(found.values(), default=0.0))
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(shares, pa.float64())], ["item_ids", "share"])
+
+    return F.arrow_udf(look, "struct<item_ids:array<long>,share:double>").asNondeterministic()(text)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, carry: bool = False, rank: int = RANK, cosine: float = COSINE, verbatim: float = VERBATIM, paraphrase: float = PARAPHRASE, answered: float = ANSWERED, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, item_ids (found in it), share (best share of an item's words) and kept (none found);
     with `carry` also the whole row, as struct `row`."""
     given = F.col("answer") if "answer" in benchmark.columns else F.lit(None)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"), given.cast("string").alias("answer"))
-    texts = docs.select(F.col("text").alias("text"))
-    n_words = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(n_words / (4 * max_words)))
-    indexes = [build_index(texts, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items, rank=rank) for k in range(blocks)]
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in indexes if x]
-    row = F.struct("*") if carry else F.lit(0)
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     how = {"cosine": cosine, "verbatim": verbatim, "paraphrase": paraphrase, "answered": answered}
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Search(x.value, **how) for x in shared]
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
-                for search in held:
-                    for leaked, own in zip(found, search.ids.of(batch.column(2))):
-                        leaked |= search.leaks(own)
-                more = [pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([max(f.values(), default=0.0) for f in found]), pa.array([not f for f in found])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["doc_id", "row", "item_ids", "share", "kept"])
-
-    out = parts.mapInArrow(look, f"doc_id long, row {parts.schema['row'].dataType.simpleString()}, item_ids array<long>, share double, kept boolean")
-    return out if carry else out.drop("row")
+    texts, n = docs.select(F.col("text").alias("text")), docs.count()
+    row = [F.struct("*").alias("row")] if carry else []
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    blocks = blocks_of(items, max_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        none = F.struct(F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("share"))
+        found = leaks_in(F.col("text"), build_index(texts, first, n, rank=rank), **how) if first else none
+        at = docs.select(doc_id, found.alias("f"), *row).select("doc_id", *["row" for _ in row], "f.*")
+    else:  # one block's index is broadcast at a time; what is found is small
+        held = written(docs.select(F.monotonically_increasing_id().alias("row_no"), doc_id, F.col("text").alias("text"), *row), "texts")
+        tables = []
+        for block in itertools.chain([first, second], blocks):
+            one = held.select("row_no", leaks_in(F.col("text"), build_index(texts, block, n, rank=rank), **how).alias("f")).select("row_no", "f.*")
+            tables.append(written(one.where(F.size("item_ids") > 0), "found"))
+        whole = reduce(DataFrame.unionByName, tables).groupBy("row_no").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("share").alias("share"))
+        at = held.join(whole, "row_no", "left").select("doc_id", *["row" for _ in row], F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    return at.withColumn("kept", F.size("item_ids") == 0)

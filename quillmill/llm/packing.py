@@ -39,8 +39,9 @@ WORD = re.compile(r"[\S\x1c-\x1f]+")
 PLAIN = re.compile(r"[!-&(-;=-~]+")
 PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 CAPACITY = 4096
-#: Words of a worker's cache: about 150 MB.
-WORDS_KEPT = 600_000
+#: Words of a worker's cache, and pieces of its other one: about 50 MB in all.
+WORDS_KEPT = 120_000
+SLICE = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are numbered in groups of about so many.
 GROUP_ROWS = 50_000
@@ -69,7 +70,7 @@ def word_ids(tokenizer_path: str) -> UnitCache:
     def stored(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    piece = UnitCache(lambda p: stored([t.id for t in model.tokenize(p)]))
+    piece = UnitCache(lambda p: stored([t.id for t in model.tokenize(p)]), size=WORDS_KEPT)
 
     def encode(word: str) -> bytes:
         if plain and word.isalpha() and word.isascii():
@@ -87,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, en
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(tokenizer_path)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             out: list[list] = [[], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 whole = b"".join(map(ids.__getitem__, WORD.findall(text))) + end

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 TABLE_SIZE = 30_000
 SAMPLE_DOCS = 3_000
-CACHE_SIZE = 300_000
+CACHE_SIZE = 150_000
+SLICE = 500
 CACHED_LENGTH = 48
 
 
@@ -87,7 +88,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(tokenizer_path)
         lengths = UnitCache(lambda u: len(tokenizer.encode(u, add_special_tokens=False).ids), table.value)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             texts = batch.column(1)
             n = [sum(map(lengths.__getitem__, UNIT.findall(t))) for t in texts.to_pylist()]
             size = pa.compute.binary_length(texts).cast(pa.int64())

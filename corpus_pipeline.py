@@ -7,6 +7,8 @@ again as the next one's `docs`. All but the last return the columns of `document
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,28 +17,56 @@ from quillmill.llm.base import made_so_far, remove, remove_since, shared_dir, ta
 from quillmill.llm.queries import vocabulary
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders that the last stage's result still reads.
+_left: list[str] = []
+
+
+def tidy(stage: Stage) -> Stage:
+    """A stage's result is stored before the next stage is called, so what its operator stored on the way is then
+    removed, unless `docs` reads it."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {f.rpartition("/")[0] for f in docs.inputFiles()}
+        for folder in [x for x in _left if not any(r.endswith(x.rpartition("/")[2]) for r in read)]:
+            remove(spark, folder)
+            _left.remove(folder)
+        before = made_so_far()
+        out = stage(spark, docs, sf_dir)
+        _left.extend(set(made_so_far()) - set(before))
+        return out
+
+    return call
+
+
+@tidy
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the learned decision list or its base rule rejects."""
     rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judge_quality(docs, rules, carry=True).where("kept").select("row.*")
 
 
+@tidy
 def pass_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the co-trained classifier rejects."""
     return cotraining.classify(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
 
 
+@tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group: shingles of five words, similarity 0.8. Of rows that
     repeat this document one is kept; rows with a null id or without words are in no group and all kept."""
     return near_dedup.near_duplicates(docs, width=5, percent=80, carry=True).where("kept").select("row.*")
 
 
+@tidy
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage or a paraphrase of one."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True).where("kept").select("row.*")
 
 
+@tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 

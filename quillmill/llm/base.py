@@ -13,10 +13,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: A key with more rows than this, and than this share of all rows, is dealt to several tasks.
 HOT_ROWS, HOT_SHARE = 500, 1e-4
 
+#: Row groups of stored tables: a task holds one in memory while it writes.
+ROW_GROUP_BYTES = 32 << 20
+#: Rows that Spark sends to a Python worker at a time: texts may be long.
+BATCH_ROWS = 1_000
+
 _made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; queries also send small batches to Python workers from here on (`small_batches`)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,12 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send at most BATCH_ROWS rows at a time to Python workers in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{name}-{uuid.uuid4().hex}"
     _made.append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

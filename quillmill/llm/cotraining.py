@@ -89,8 +89,7 @@ def words_in(text: Column) -> Column:
     def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = Hashes()
         for batch in texts:
-            parts = []
-            for at in range(0, max(1, len(batch)), SLICE):
+            for at in range(0, len(batch), SLICE):
                 tokens, repeats = [], []
                 for t in batch.slice(at, SLICE).to_pylist():
                     words = (t or "").lower().split()
@@ -100,8 +99,7 @@ def words_in(text: Column) -> Column:
                     repeats.append([len(seen) / n, sum(map(eq, words, words[1:])) / n, max(seen.values(), default=0) / n])
                 ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
                 listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *tokens])))
-                parts.append(pa.StructArray.from_arrays([listed, pa.array(repeats, pa.list_(pa.float64()))], ["tokens", "repeats"]))
-            yield pa.concat_arrays(parts)
+                yield pa.StructArray.from_arrays([listed, pa.array(repeats, pa.list_(pa.float64()))], ["tokens", "repeats"])
 
     return F.arrow_udf(cut, "struct<tokens:array<int>,repeats:array<double>>").asNondeterministic()(text)
 
@@ -121,6 +119,8 @@ def featured(docs: DataFrame, known: DataFrame | None = None, *, carry: bool = F
 
 def text_view(tokens: pa.Array, repeats: pa.Array, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Mean of the log-odds of the known words, the three largest, the share above 1, and `repeats`."""
+    if len(tokens) > SLICE:
+        return np.concatenate([text_view(tokens.slice(k, SLICE), repeats.slice(k, SLICE), lexicon) for k in range(0, len(tokens), SLICE)])
     hashes, odds = lexicon
     flat = tokens.flatten().to_numpy(zero_copy_only=False)
     lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
@@ -240,7 +240,8 @@ class Trainer:
         x = np.zeros((len(fold), N_TEXT))
         for k in range(FOLDS):
             if (own := np.flatnonzero(fold == k)).size:
-                x[own] = text_view(at["tokens"].take(pa.array(own)), at["repeats"].take(pa.array(own)), left_out[k])
+                for some in np.array_split(own, -(-len(own) // SLICE)):
+                    x[some] = text_view(at["tokens"].take(pa.array(some)), at["repeats"].take(pa.array(some)), left_out[k])
         return x
 
     def sums_of(self, given: DataFrame, left_out: list, weigh: list[float]):

@@ -1,14 +1,25 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page is cut into blocks of text at block-level tags. A linear classifier over tags, class names,
-links and length gives each block a score; its positive part is the capacity from the source, its
-negative part that to the sink. Edges between neighbours in the page and between blocks that are
-close in the tree smooth the labels; the source side of the minimum cut is the content. Graphs are
-of one page, so each page is a row of a map; nothing is shuffled.
+A page is cut into blocks of text at block-level tags. A logistic regression gives each block its
+log-odds of being content; the positive part is the capacity from the source, the negative part that
+to the sink, bounded by CAPACITY. Edges between neighbours in the page and between blocks that are
+close in the tree smooth the labels; the source side of the minimum cut is the content. Graphs are of
+one page, so each page is a row of a map; nothing is shuffled.
+
+The classifier is fitted on the given pages: at most `sample_pages` pages (of least hash of the id) with
+at most PAGE_BLOCKS blocks each. Their labels are weak: a block votes by the landmarks around it
+(tags, roles, whole words of class and id); blocks under boilerplate landmarks inside of content ones, or
+under one kind only, are labelled, those under content landmarks inside of boilerplate ones are not.
+Features are the tags and name words on a block's path (in three sampled pages or more, the VOCABULARY most frequent),
+the kinds of landmark seen and last seen, length, links and punctuation. The ridge pulls weights to
+PRIOR, not to zero, so that pages without labels are judged too. Names such as has-sidebar or
+no-comments describe a layout and don't vote.
 
 Defined cases: null, empty or tag-free html gives its text, if any, as one block; unclosed and
-crossed tags follow the stack of open elements; blocks without text are dropped; repeated rows are
-treated alike; an empty table gives an empty result; extra columns are ignored.
+crossed tags follow the stack of open elements; hidden elements and blocks without text are dropped; very long
+pages are taken whole, in time linear in their length but for the flow; equal scores keep nothing that
+no edge pulls to the content; repeated rows are treated alike; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,66 +27,127 @@ from __future__ import annotations
 import html as markup
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SAMPLE_PAGES, PAGE_BLOCKS, VOCABULARY = 500, 200, 400
+CAPACITY = 8.0
+SLICE = 200
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-NAME = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img nobr".split())
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img nobr mi mn mo mrow msup msub mfrac msqrt mtext semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+# Votes of the weak labels.
 APART = frozenset("nav aside footer form menu dialog button fieldset".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 AWAY = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup "
     "sidebar rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond reply replies related recommended recommendations share sharing social "
-    "pagination pager paging skip login search tags hidden".split()
+    "pagination pager paging skip login search tags".split()
 )
 ABOUT = frozenset("article content post entry story main body text".split())
-FARTHEST = -30.0
+#: First words of names that say what a layout has or lacks.
+LAYOUT = frozenset("has no with without is hide show js".split())
+#: Where weights are pulled to: what is known without any page.
+PRIOR = {"bias": -1.5, "words": 0.8, "links": -5.0, "stops": 0.5, "last:away": -10.0, "seen:away": -1.0, "last:about": 4.0, "seen:about": 1.0, "t:p": 1.0, "t:blockquote": 1.0, "t:pre": 1.0, "t:li": -0.5, "notice": -2.0}
 
 
 @dataclass
 class Block:
     text: str
-    score: float
+    features: tuple[str, ...]
+    numbers: tuple[float, float, float]
     path: tuple[int, ...]
+    label: int | None
+
+
+@dataclass
+class Open:
+    """An open element: tag, features of the path to it, the last vote (-1, 1, 0: none), whether a content vote
+    was seen before a boilerplate one, whether it is hidden, and its number."""
+
+    tag: str
+    path: frozenset[str] = frozenset()
+    vote: int = 0
+    mixed: bool = False
+    hidden: bool = False
+    number: int = 0
+
+
+def attributes_of(source: str) -> dict[str, str]:
+    """Names in lower case; of equal names the first one counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def name_words(names: str) -> set[str]:
+    """Lower-case words of class and id names without those that describe a layout."""
+    out: set[str] = set()
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if x]
+        if parts and parts[0] not in LAYOUT:
+            out.update(parts)
+    return out
 
 
-def _names(attributes: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAME.finditer(attributes)} if attributes.strip() else {}
+def opened(parent: Open, tag: str, source: str, number: int) -> Open:
+    held = attributes_of(source) if source.strip() else {}
+    words, role = name_words(f"{held.get('class', '')} {held.get('id', '')}"), held.get("role", "").lower()
+    whole = tag in ("html", "body")
+    away = not whole and (tag in APART or role in APART_ROLES or bool(words & AWAY) or (tag == "header" and parent.vote <= 0))
+    about = not whole and (tag in ("article", "main") or role in ("main", "article") or bool(words & ABOUT))
+    if away and about and not (tag in APART or role in APART_ROLES):
+        if tag in ("article", "main") or role in ("main", "article"):
+            away = False
+        else:  # such as post-comments, content-sidebar: the thing that it is comes last, and what it is of first
+            about = False
+    vote = -1 if away else 1 if about else parent.vote
+    seen = {f"seen:{'away' if away else 'about'}"} if away or about else set()
+    hidden = parent.hidden or "hidden" in held or held.get("aria-hidden", "").lower() == "true" or "display:none" in held.get("style", "").replace(" ", "").lower()
+    path = parent.path | seen | {f"t:{tag}"} | {f"n:{w}" for w in words} if not whole else parent.path
+    return Open(tag, path, vote, parent.mixed or (vote == 1 and parent.vote == -1), hidden, number)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, with the classifier's score."""
-    # an open element: tag, apart (boilerplate whatever stands in it), away (by its names), about (of the article), number
-    stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+    """Blocks of text in page order."""
+    stack = [Open("")]
     out: list[Block] = []
     text: list[str] = []
+    unclosed: set[str] = set()
     links = made = 0
 
     def flush() -> None:
         nonlocal links
-        if text:
+        if text and not stack[-1].hidden:
             whole = " ".join(markup.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, _score(whole, links, stack), tuple(e[4] for e in stack)))
-            text.clear()
+                at = stack[-1]
+                words = whole.count(" ") + 1
+                last = {-1: ("last:away",), 1: ("last:about",), 0: ()}[at.vote]
+                notice = ("notice",) if words < 15 and ("©" in whole or "rights reserved" in whole.lower()) else ()
+                label = None if at.vote == 0 or (at.vote == 1 and at.mixed) else int(at.vote == 1)
+                numbers = (math.log1p(words), min(1.0, links / max(1, len(whole))), float(whole[-1] in ".!?…。！？:"))
+                out.append(Block(whole, (*sorted(at.path), *last, *notice), numbers, tuple(e.number for e in stack), label))
+        text.clear()
         links = 0
 
-    at, n = 0, len(page)
+    at, n, last_end = 0, len(page), page.rfind(">")
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at) if page.find("<", at) <= last_end or page.find("<!", at) >= 0 else None
         end = m.start() if m else n
         if end > at:
             text.append(page[at:end])
-            if any(e[0] == "a" for e in stack[-4:]):
+            if any(e.tag == "a" for e in stack[-4:]):
                 links += end - at
         if not m:
             break
@@ -87,56 +159,72 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
+                if tag in INLINE and stack[k].tag not in INLINE:
                     break
             continue
         if tag == "br":
             text.append(" ")
             continue
-        attributes = m[3] or m[6] or ""
+        source = m[3] or m[6] or ""
         if tag in RAW:
-            if tag != "head":
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (n if tag in ("script", "style", "textarea", "title") else at)
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if close is None:
+                unclosed.add(tag)
+            at = close.end() if close else (n if tag in ("script", "style", "textarea", "title") else at)
+            continue
+        if tag == "head":
             continue
         if tag not in INLINE:
             flush()
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES.get(tag, ()):
+                if stack[k].tag in CLOSES.get(tag, ()):
                     del stack[k:]
                     break
-                if stack[k][0] not in INLINE and stack[k][0] not in CLOSES.get(tag, ()):
+                if stack[k].tag not in INLINE:
                     break
-        if tag in VOID or attributes.endswith("/") and tag in INLINE:
+        if tag in VOID or source.endswith("/") and tag in INLINE:
             continue
-        _, apart, away, about, _ = stack[-1]
-        names = _names(attributes)
-        words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{names.get('class', '')} {names.get('id', '')}").lower()))
-        if tag in ("article", "main") or names.get("role") == "main":
-            about, away = True, away and bool(words & AWAY)
-        if tag not in ("html", "body", "article", "main"):
-            away = away or bool(words & AWAY)
-        apart = apart or tag in APART or names.get("role", "").lower() in APART_ROLES or (tag == "header" and not about) or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
-        if "comment" in words or "comments" in words:
-            apart = apart or tag not in ("html", "body")
         made += 1
-        stack.append((tag, apart, away, about or bool(words & ABOUT), made))
+        stack.append(opened(stack[-1], tag, source, made))
     flush()
     return out
 
 
-def _score(text: str, links: int, stack: list) -> float:
-    tag, apart, away, about, _ = stack[-1]
-    if apart or away:
-        return FARTHEST
-    words = text.count(" ") + 1
-    score = 0.8 * math.log1p(words) - 1.5 - 5.0 * min(1.0, links / max(1, len(text)))
-    tags = {e[0] for e in stack}
-    score += 5.0 * about + 1.0 * ("p" in tags or "blockquote" in tags or "pre" in tags) + 0.5 * bool(tags & {"h1", "h2", "h3", "h4", "h5", "h6"}) - 0.5 * ("li" in tags)
-    return score - 2.0 * (words < 15 and ("©" in text or "rights reserved" in text.lower()))
+@dataclass
+class Costs:
+    """Weights of the classifier; a feature without one counts nothing."""
+
+    weights: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
+
+    def score(self, block: Block) -> float:
+        w = self.weights
+        words, links, stops = block.numbers
+        raw = w["bias"] + w["words"] * words + w["links"] * links + w["stops"] * stops + sum(w.get(f, 0.0) for f in block.features)
+        return max(-CAPACITY, min(CAPACITY, raw))
+
+
+def fit_costs(pages: list[list[Block]], *, ridge: float = 2.0) -> Costs:
+    """Most probable weights for the labelled blocks of some pages, with a normal prior around PRIOR."""
+    seen = Counter(f for page in pages for f in {f for block in page for f in block.features})
+    names = sorted({f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= 3} | set(PRIOR))
+    at = {f: k for k, f in enumerate(names)}
+    blocks = [block for page in pages for block in page if block.label is not None]
+    x, y = np.zeros((len(blocks), len(names))), np.array([b.label for b in blocks], float)
+    for k, block in enumerate(blocks):
+        x[k, [at["bias"], at["words"], at["links"], at["stops"]]] = (1.0, *block.numbers)
+        x[k, [at[f] for f in block.features if f in at]] = 1.0
+    prior = np.array([PRIOR.get(f, 0.0) for f in names])
+    w = prior.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(names)), x.T @ (y - p) - ridge * (w - prior))
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return Costs({f: float(v) for f, v in zip(names, w)})
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -187,21 +275,40 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
             room[a][b] += flow
 
 
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+def main_text(page: str | None, costs: Costs | None = None) -> str:
+    blocks, costs = blocks_of(page or ""), costs or Costs()
     if not blocks:
         return ""
-    keep = min_cut([b.score for b in blocks], smoothness(blocks))
+    keep = min_cut([costs.score(b) for b in blocks], smoothness(blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
+def learn_costs(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES) -> Costs:
+    """The classifier for these pages, fitted on a bounded sample of them."""
+    sample = pages.where("html is not null").select(F.xxhash64("page_id").alias("h"), "page_id", F.col("html").alias("html")).orderBy("h", "page_id", "html").limit(sample_pages)
+    kind = "array<struct<features:array<string>,numbers:array<double>,label:int>>"
+
+    def cut(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = pa.struct([("features", pa.list_(pa.string())), ("numbers", pa.list_(pa.float64())), ("label", pa.int32())])
+        for batch in texts:
+            made = [[{"features": list(b.features), "numbers": list(b.numbers), "label": b.label} for b in blocks_of(h)[:PAGE_BLOCKS]] for h in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(listed))], ["blocks"])
+
+    rows = sample.select("html").mapInArrow(cut, f"blocks {kind}").collect()  # at most sample_pages * PAGE_BLOCKS blocks
+    return fit_costs([[Block("", tuple(b["features"]), tuple(b["numbers"]), (), b["label"]) for b in r["blocks"]] for r in rows])
+
+
+def extract_main_text(pages: DataFrame, costs: Costs | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    shared = pages.sparkSession.sparkContext.broadcast(costs or learn_costs(pages))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        held = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                texts = [main_text(h, held) for h in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     parts = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.col("html").alias("html"))
     return parts.mapInArrow(extract, f"page_id {parts.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

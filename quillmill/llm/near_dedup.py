@@ -102,8 +102,7 @@ def sets_of(text: Column, *, width: int, minima: int, seed: int = 17) -> Column:
 
         hashes = WordHashes()
         for batch in texts:
-            parts = []
-            for at in range(0, max(1, len(batch)), SLICE):
+            for at in range(0, len(batch), SLICE):
                 n, hi, lo, sets, sigs = [], [], [], [], []
                 for words in batch.slice(at, SLICE).cast(pa.binary()).to_pylist():
                     s = shingle_set((words or b"").lower().split(), hashes, width)
@@ -116,8 +115,7 @@ def sets_of(text: Column, *, width: int, minima: int, seed: int = 17) -> Column:
                 ends = pa.array(np.cumsum([0, *n]), pa.int32())
                 listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
                 columns = [pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), listed, pa.array(sigs, pa.binary())]
-                parts.append(pa.StructArray.from_arrays(columns, names))
-            yield pa.concat_arrays(parts)
+                yield pa.StructArray.from_arrays(columns, names)
 
     made = F.arrow_udf(make, "struct<n:long,hi:long,lo:long,set:array<long>,sig:binary>")
     return made.asNondeterministic()(text)  # so that no filter makes Spark compute it twice

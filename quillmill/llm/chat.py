@@ -12,7 +12,8 @@ strings are made of. Level 2 is always reversible, so the search ends; a failure
 
 Defined cases: a null text or role is empty; equal turns of a conversation are ordered by role, then
 text; repeated rows are all kept; a null conv_id is a conversation of its own; an empty table gives
-an empty result. A conversation is one output row, so its turns do meet in one task.
+an empty result; extra columns are ignored. A conversation is one output row, so its turns do meet in one task, and a
+conversation must fit in a row: 2 GB of text at the very most, and some hundred MB in practice, by the executor's memory.
 """
 
 from __future__ import annotations
@@ -77,8 +78,27 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
 
 
+def loss_spans(formatted: Column, role: str = "assistant") -> Column:
+    """array<struct<start, length>>, the loss mask: where in a rendered conversation the (escaped) texts of a role
+    stand. `start` counts code points from 1."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    shown = f"{OPEN}{NAMED[role]}{SEP}"
+
+    def step(a: Column, piece: Column) -> Column:
+        span = F.struct((a["at"] + len(shown)).alias("start"), (F.length(piece) - len(shown)).alias("length"))
+        spans = F.when(piece.startswith(shown), F.array_append(a["spans"], span)).otherwise(a["spans"])
+        return F.struct((a["at"] + F.length(piece) + len(CLOSE)).alias("at"), spans.alias("spans"))
+
+    return F.aggregate(F.split(formatted, CLOSE.replace("\n", "\\n")), start, step, lambda a: a["spans"])
+
+
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """The text under a loss mask, unescaped, with nothing between the spans."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"], s["length"]))), "")
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted text, the parsed turns (role, text) and the source turns, one row a conversation."""
+    """conv_id, formatted text, its loss mask, the parsed turns (role, text) and the source turns, one row a conversation."""
     turns = rows.select(
         F.col("conv_id").alias("conv_id"),
         F.col("turn").alias("turn"),
@@ -101,14 +121,14 @@ def format_chats(rows: DataFrame) -> DataFrame:
     parsed = shown.withColumn("formatted", F.when(parse(F.col("plain")) == F.col("source"), F.col("plain")).otherwise(F.col("strict"))).drop("plain", "strict")
     parsed = parsed.withColumn("turns", parse(F.col("formatted")))
     same = F.when(F.col("turns") == F.col("source"), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation did not come back from its formatted text")))
-    return parsed.select("conv_id", "formatted", same.alias("turns"), "source")
+    return parsed.select("conv_id", "formatted", loss_spans(F.col("formatted")).alias("loss_mask"), same.alias("turns"), "source")
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
-    """What is read back from the output of `format_chats`: counts and digests of turns and loss mask."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    """What is read back from the formatted text and its loss mask: counts and digests of turns and of the text under the mask."""
+    read = chats.select("conv_id", "formatted", "loss_mask", parse(F.col("formatted")).alias("turns"))
     all_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    read = chats.select("conv_id", "formatted", "turns", all_turns.alias("all_turns"), loss.alias("loss"))
+    read = read.select("conv_id", "formatted", "turns", all_turns.alias("all_turns"), masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

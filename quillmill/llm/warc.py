@@ -4,16 +4,18 @@ Every page becomes one record, a gzip member of its own. Archives are stored as
 segment, content), since executors share only what Spark writes; `segment` rows joined in order are a
 plain .warc.gz file. Reading back parses the records and rebuilds digests from the payloads.
 
-The index is an external merge: each archive's captures are a run, sorted locally by (URL key,
-timestamp, page). Boundaries from a bounded sample of keys cut the key range; a task merges its piece
-of all runs with a loser tree. Keys hold the page id, so one hot URL is cut as well.
+The index is an external merge. The captures of each segment are a run, sorted when the segment is
+read and stored in that order. Spark deals the stored runs to ranges of (URL key, timestamp, page), whose
+number grows with the captures, so that a range has about RANGE_ROWS of them; a task streams the heads
+of all runs of its range through a loser tree. Nothing is sorted again. Keys hold the page id, so one
+hot URL is cut as well; captures with all of the key equal stay in one range.
 
 Which of several equal payloads is the response depends on all pages: a hash aggregate over digests
 finds the smallest page id. Only revisits are joined back; they are broadcast if at most
 `broadcast_rows`, else shuffled.
 
 Defined cases: a null html is an empty payload; a null url is written without a target; payloads
-below `min_revisit_bytes` are always responses; rows that share a page_id are written as given, and
+below `min_revisit_bytes` are always responses; a payload larger than a segment has one of its own; rows that share a page_id are written as given, and
 equal ones are responses alike; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -27,7 +29,6 @@ import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,9 @@ from quillmill.llm.base import written
 
 SEGMENT_BYTES = 4_000_000
 BROADCAST_ROWS = 200_000
-RANGE_ROWS = 20_000
-SAMPLED_KEYS = 20_000
+RANGE_ROWS, MERGED_ROWS = 20_000, 2_000
+READ_BYTES = 16_384
+SLICE = 200
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 
 
@@ -70,13 +72,17 @@ def record(page: int, url: str | None, payload: bytes, refers: int | None) -> by
 
 
 def records_in(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """offset, length, headers and block of each gzip member."""
-    at = 0
-    while at < len(content):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(content[at:] if at == 0 else memoryview(content)[at:])
-        size = len(content) - at - len(member.unused_data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
+    """offset, length, headers and block of each gzip member; reads on in pieces of READ_BYTES."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member, raw, end = zlib.decompressobj(31), [], at
+        while not member.eof:
+            if end >= len(view):
+                raise ValueError("a record is cut off")
+            raw.append(member.decompress(view[end : end + READ_BYTES]))
+            end = min(len(view), end + READ_BYTES)
+        size = end - len(member.unused_data) - at
+        head, _, rest = b"".join(raw).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield at, size, fields, rest[: int(fields["Content-Length"])]
         at += size
@@ -106,7 +112,7 @@ def write_archives(pages: DataFrame, *, min_revisit_bytes: int = 0, broadcast_ro
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([segment], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["archive", "segment", "content"])
 
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(record(page, url, (html or "").encode(), refers))
                 size += len(held[-1])
@@ -119,12 +125,18 @@ def write_archives(pages: DataFrame, *, min_revisit_bytes: int = 0, broadcast_ro
     return written(rows.select("page_id", "url", "html", "refers_to").mapInArrow(write, "archive string, segment int, content binary"), "warc")
 
 
-CAPTURE = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, segment int, at long, size long"
+CAPTURE = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, segment int, at long, size long, run_pos long"
+Key = tuple[str, str, int]
+
+
+def capture_key(url: str, captured: str, page: int | None) -> Key:
+    return url, captured, -(2**63) if page is None else page
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """One row per record. Digest and size of responses come from the payload that is read; a response
-    whose payload doesn't have the digest that its header says is an error."""
+    """One row per record: the captures of a segment are a run, sorted here, with places `run_pos`. Digest and
+    size of responses come from the payload that is read; a response whose payload doesn't have the digest
+    that its header says is an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,13 +149,16 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     page = h["WARC-Record-ID"][10:-1]
                     refers = int(h["WARC-Refers-To"][10:-1]) if "WARC-Refers-To" in h else None
                     rows.append((url_key(h.get("WARC-Target-URI", "")), h["WARC-Date"], None if page == "None" else int(page), n, digest, h["WARC-Type"], refers, archive, segment, at, size))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+                rows.sort(key=lambda r: capture_key(*r[:3]))
+                columns = [*zip(*rows), range(len(rows))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
     return archives.select("archive", "segment", "content").mapInArrow(read, CAPTURE)
 
 
 _NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
 _TYPES = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in CAPTURE.split(", ")]
+ARROW = pa.schema(list(zip(_NAMES, _TYPES)))
 
 
 class LoserTree:
@@ -179,32 +194,33 @@ class LoserTree:
             self.winner = at
 
 
-def merge_index(captures: DataFrame, *, range_rows: int = RANGE_ROWS, sampled_keys: int = SAMPLED_KEYS) -> DataFrame:
-    """Captures in global order of (url_key, captured, page_id): `range_no` and `place` in it.
-    `captures` must be stored: it is read twice."""
-    key = F.concat_ws("\x01", "url_key", "captured", F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0"))
-    n = captures.count()
-    ranges = -(-n // range_rows)
-    keys = [r[0] for r in captures.select(key).sample(min(1.0, sampled_keys / n), 3).collect()] if ranges > 1 else []  # about sampled_keys at most
-    keys.sort()
-    cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-    bounds = captures.sparkSession.sparkContext.broadcast(cuts)
-
-    @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        import bisect
-
-        return pd.Series([bisect.bisect_right(bounds.value, x) for x in k], dtype="int32")
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["archive", "sort_key"], kind="stable").reset_index(drop=True)  # each run in its own order
-        runs = [iter([(k, i) for k, i in zip(run["sort_key"], run.index)]) for _, run in part.groupby("archive", sort=True)]
-        out = part.loc[[i for _, i in LoserTree(runs)]].drop(columns="sort_key")
-        out["place"] = range(len(out))
-        return out
-
-    cut = captures.withColumn("sort_key", key).withColumn("range_no", range_of("sort_key"))
-    return cut.groupBy("range_no").applyInPandas(merge, CAPTURE + ", range_no int, place long")
+def merge_index(captures: DataFrame, *, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Captures in global order of (url_key, captured, page_id): `range_no` and `place` in it. `captures` is
+    the stored table of runs: it is counted, sampled by Spark for the ranges' bounds, and read."""
+    ranges = max(1, -(-captures.count() // range_rows))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        runs: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        held = pa.Table.from_batches(batches, ARROW)
+        for row, (archive, segment, pos) in enumerate(zip(*(held[c].to_pylist() for c in ("archive", "segment", "run_pos")))):
+            runs.setdefault((archive, segment), []).append((pos, row))
+        keys = [held[c].to_pylist() for c in ("url_key", "captured", "page_id")]
+
+        def heads(rows: list[tuple[int, int]]) -> Iterator[tuple[Key, int]]:
+            if any(a > b for a, b in zip(rows, rows[1:])):  # blocks of a run may arrive out of turn
+                rows.sort()
+            return ((capture_key(*(k[row] for k in keys)), row) for _, row in rows)
+
+        order = [row for _, row in LoserTree([heads(runs[r]) for r in sorted(runs)])]
+        number = TaskContext.get().partitionId()
+        for at in range(0, len(order), MERGED_ROWS):
+            part = held.take(order[at : at + MERGED_ROWS]).combine_chunks()
+            more = [pa.array([number] * len(part), pa.int32()), pa.array(range(at, at + len(part)), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in part.columns), *more], [*part.column_names, "range_no", "place"])
+
+    return captures.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(merge, CAPTURE + ", range_no int, place long")
 
 
 def archive_pages(pages: DataFrame, *, min_revisit_bytes: int = 0) -> DataFrame:

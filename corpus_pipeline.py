@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import cotraining, decontam, near_dedup, packing, quality_rules
-from quillmill.llm.base import made_so_far, remove, remove_since, shared_dir, table
+from quillmill.llm.base import folders_of, made_so_far, remove, remove_since, shared_dir, table
 from quillmill.llm.queries import vocabulary
 
 
@@ -28,8 +28,8 @@ def tidy(stage: Stage) -> Stage:
 
     @wraps(stage)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = {f.rpartition("/")[0] for f in docs.inputFiles()}
-        for folder in [x for x in _left if not any(r.endswith(x.rpartition("/")[2]) for r in read)]:
+        read = folders_of(docs)
+        for folder in [x for x in _left if x not in read]:
             remove(spark, folder)
             _left.remove(folder)
         before = made_so_far()

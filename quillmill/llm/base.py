@@ -61,12 +61,17 @@ def remove(spark: SparkSession, folder: str) -> None:
         _made.remove(folder)
 
 
+def folders_of(*tables: DataFrame) -> set[str]:
+    """Folders of the tables made by `written` that these read."""
+    read = {f.rpartition("/")[0].rpartition("/")[2] for df in tables for f in df.inputFiles()}
+    return {x for x in _made if x.rpartition("/")[2] in read}
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove the folders of tables made by `written`, once nothing reads them any more."""
     for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/quillmill-" in folder:
-                remove(df.sparkSession, folder)
+        for folder in folders_of(df):
+            remove(df.sparkSession, folder)
 
 
 def made_so_far() -> list[str]:
@@ -74,9 +79,9 @@ def made_so_far() -> list[str]:
     return list(_made)
 
 
-def remove_since(spark: SparkSession, before: list[str]) -> None:
-    """Remove what `written` made after `before` was taken."""
-    for folder in set(made_so_far()) - set(before):
+def remove_since(spark: SparkSession, before: list[str], *needed: DataFrame) -> None:
+    """Remove what `written` made after `before` was taken, but for what tables that are still `needed` read."""
+    for folder in set(made_so_far()) - set(before) - folders_of(*needed):
         remove(spark, folder)
 
 

@@ -207,7 +207,8 @@ class Costs:
 
 
 def fit_costs(pages: list[list[Block]], *, ridge: float = 2.0) -> Costs:
-    """Most probable weights for the labelled blocks of some pages, with a normal prior around PRIOR."""
+    """Most probable weights for the labelled blocks of some pages, with a normal prior around PRIOR. Each block
+    counts twice, with its landmarks and without, so that names and text are learned for pages that have none."""
     seen = Counter(f for page in pages for f in {f for block in page for f in block.features})
     names = sorted({f for f, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n >= 3} | set(PRIOR))
     at = {f: k for k, f in enumerate(names)}
@@ -216,6 +217,9 @@ def fit_costs(pages: list[list[Block]], *, ridge: float = 2.0) -> Costs:
     for k, block in enumerate(blocks):
         x[k, [at["bias"], at["words"], at["links"], at["stops"]]] = (1.0, *block.numbers)
         x[k, [at[f] for f in block.features if f in at]] = 1.0
+    unseen = x.copy()
+    unseen[:, [at[f] for f in names if f.startswith(("last:", "seen:"))]] = 0.0
+    x, y = np.vstack([x, unseen]), np.r_[y, y]
     prior = np.array([PRIOR.get(f, 0.0) for f in names])
     w = prior.copy()
     for _ in range(30):

@@ -22,8 +22,8 @@ under the threshold; rows shipped for it grow with that square over `block`.
 
 Defined cases: a text without words, or null, has the empty set and is linked with nothing; with
 fewer words than a shingle has, the whole sequence is the only one; equal texts and repeated rows
-fall in one class; a doc_id with several texts is one node, linked by any of them; a null doc_id is
-linked with nothing; very long texts are taken whole, one at a time; extra columns are ignored, or
+fall in one class; rows that share a doc_id but not their words are in the classes of their words (which
+are one node where the id stands for both); a null doc_id is linked with nothing; very long texts are taken whole, one at a time; extra columns are ignored, or
 carried whole in `row`; an empty table gives an empty result.
 """
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.base import dropped, hot_rows, parts_of, spread_join, written
+from quillmill.llm.base import dropped, hot_rows, made_so_far, parts_of, remove_since, spread_join, written
 
 #: Classes a block of an open bucket; bytes of sets in a group of small open buckets.
 BLOCK, GROUP_BYTES = 256, 8_000_000
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every document. With `carry` only
     kept rows come, as struct `row`: one of those that repeat a doc_id with the same set, all without a set or id."""
     rows, bands = bands_for(percent / 100)
+    before = made_so_far()
     row = [F.struct("*").alias("row")] if carry else []
     at = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), sets_of(F.col("text"), width=width, minima=rows * bands).alias("s"), *row)
     sets = written(at.select("row_no", "doc_id", "s.*", *["row" for _ in row]), "sets")
@@ -230,9 +231,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block
     roots = components(links)
     more = written(_open_links(members, held, roots, rows, least_share(percent / 100, rows * bands), percent, block), "links")
     if not more.isEmpty():
-        stars, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-        dropped(stars)
-    dropped(members, held, links, more)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    remove_since(docs.sparkSession, before, sets, classes, roots)
     ends = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     if carry:
         kept = ends.where("root = rep").select(F.col("cid").alias("row_no"))

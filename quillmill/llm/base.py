@@ -15,6 +15,8 @@ HOT_ROWS, HOT_SHARE = 500, 1e-4
 
 #: Row groups of stored tables: a task holds one in memory while it writes.
 ROW_GROUP_BYTES = 32 << 20
+#: Rows of a file, where a table's size is known beforehand.
+FILE_ROWS = 50_000
 #: Rows that Spark sends to a Python worker at a time: texts may be long.
 BATCH_ROWS = 1_000
 
@@ -45,11 +47,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it again: cuts lineage and survives lost executors. Where `rows`
+    bounds its rows, it is written by a task for each FILE_ROWS of them, so that small tables are few files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{name}-{uuid.uuid4().hex}"
     _made.append(path)
+    df = df if rows is None else df.coalesce(max(8, -(-rows // FILE_ROWS)))
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -139,13 +139,13 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, low.select("u", "m"), "u", parts_of(low, "u", "n", most), F.col("v"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        new = written(small.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
+        new = written(small.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges", 2 * mark[0])
         now = _mark(new)
         dropped(at)
         at = new
         if now == mark:
             stars = at.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out = written(stars.union(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+            out = written(stars.union(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots", 2 * mark[0])
             dropped(at)
             return out
         mark = now

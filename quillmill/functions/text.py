@@ -5,9 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from quillmill.schema import CLEANER_HEADINGS
 
@@ -23,6 +23,13 @@ def nfkc(text: str) -> str:
     return None if text is None else unicodedata.normalize("NFKC", text)
 
 
+@F.udf(ArrayType(StringType()), useArrow=True)
+def nfkc_each(texts: list[str]) -> list[str]:
+    return None if texts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
+nfkc_each = nfkc_each.asNondeterministic()  # so that its result is made once and not inside other expressions
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once; inside lambdas, Spark would compute it for each element."""
@@ -87,8 +94,12 @@ def drop_page_noise(pages: Column, edge_lines: int = 3) -> Column:
     return F.when(F.size(pages) < 3, pages).otherwise(kept)
 
 
-def clean_pages(pages: Column) -> Column:
-    return clean_text(F.array_join(drop_page_noise(F.transform(pages, lambda p: p)), "\n\n"))
+def clean_pages(rows: DataFrame, pages: str = "pages", text: str = "text") -> DataFrame:
+    """Adds the cleaned text of an array of pages: NFKC of each page, then page noise, then `clean_text`."""
+    held = f"{pages}_nfkc"
+    at = rows.withColumn(held, nfkc_each(pages))
+    whole = F.array_join(drop_page_noise(F.col(held)), "\n\n")
+    return at.withColumn(text, clean_text(whole, unicode=False)).drop(held)
 
 
 TRUNCATED = "\n\n[... middle content truncated ...]\n\n"
@@ -114,11 +125,14 @@ def normalize_entity(value: Column) -> Column:
     return F.btrim(collapse(value), F.lit(" .,:;"))
 
 
-def canonical_key(value: Column) -> Column:
-    folded = normalize_entity(value)
+def casefolded(value: Column) -> Column:
     for c, to in FOLDINGS.items():
-        folded = F.replace(folded, F.lit(c), F.lit(to))
-    return F.btrim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "), F.lit(" "))
+        value = F.replace(value, F.lit(c), F.lit(to))
+    return F.lower(value)
+
+
+def canonical_key(value: Column) -> Column:
+    return F.btrim(F.regexp_replace(casefolded(normalize_entity(value)), "[^a-z0-9]+", " "), F.lit(" "))
 
 
 def node_id(kind: Column, label: Column) -> Column:

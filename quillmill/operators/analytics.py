@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import collapse_ends
 from quillmill.operators.entities import canonical_label
 from quillmill.operators.graph import paper_key, with_degree
 
@@ -57,7 +58,7 @@ def _with_papers(at: DataFrame, top: DataFrame, name: str) -> DataFrame:
 
 def list_values(papers: DataFrame, field: str) -> DataFrame:
     column = F.col(field) if dict(papers.dtypes)[field].startswith("array") else F.array(field)
-    return papers.select(F.explode(column).alias("value")).select(F.trim("value").alias("value")).where("value <> ''").distinct().orderBy(F.lower("value"), "value")
+    return papers.select(F.explode(column).alias("value")).select(collapse_ends(F.col("value")).alias("value")).where("value <> ''").distinct().orderBy(F.lower("value"), "value")
 
 
 def top_datasets(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
@@ -72,8 +73,13 @@ def keyword_papers(nodes: DataFrame, edges: DataFrame, keyword: str) -> DataFram
 
 
 def shared_pairs(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
-    uses = edges.where("relation = 'uses'").select("source", "target")
-    pairs = uses.select(F.col("source").alias("a"), "target").join(uses.select(F.col("source").alias("b"), "target"), "target").where("a < b")
+    """The first `limit` pairs by dataset and papers. They lie in the first `limit` datasets with two papers or more,
+    among the first `limit` + 1 papers of each, so no others are paired."""
+    uses = edges.where("relation = 'uses'").select("source", "target").distinct()
+    first = uses.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").orderBy("target").limit(limit).select("target")
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("source"))
+    few = uses.join(F.broadcast(first), "target").withColumn("k", rank).where(F.col("k") <= limit + 1).drop("k")
+    pairs = few.select(F.col("source").alias("a"), "target").join(few.select(F.col("source").alias("b"), "target"), "target").where("a < b")
     names = nodes.select("id", "label")
     top = pairs.orderBy("target", "a", "b").limit(limit)
     for end, name in (("target", "dataset"), ("a", "paper_a"), ("b", "paper_b")):
@@ -82,10 +88,12 @@ def shared_pairs(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFra
 
 
 def filter_papers(papers: DataFrame, query: str = "", *, datasets: Sequence[str] = (), baselines: Sequence[str] = (), metrics: Sequence[str] = (), keywords: Sequence[str] = (), tasks: Sequence[str] = ()) -> DataFrame:
-    """All of the facets, any of each one's values; none given is no filter."""
+    """All of the facets, any of each one's values; none given is no filter. The query is looked for in seven fields
+    joined by spaces, where a null field reads `None` and a missing one is empty."""
     out = papers
     if query.strip():
-        seen = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("paper_id", "arxiv_id", "title", "abstract", "research_problem", "methodology", "task") if c in papers.columns])
+        shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None")) if c in papers.columns else F.lit("")
+        seen = F.concat_ws(" ", *map(shown, ("paper_id", "arxiv_id", "title", "abstract", "research_problem", "methodology", "task")))
         out = out.where(F.lower(seen).contains(query.strip().lower()))
     for field, wanted in (("datasets", datasets), ("baselines", baselines), ("metrics", metrics), ("keywords", keywords)):
         if wanted:
@@ -114,3 +122,49 @@ def edge_view(edges: DataFrame, shown: DataFrame) -> DataFrame:
     if ids.isEmpty():
         return edges
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def graph_analysis(nodes: DataFrame, edges: DataFrame, papers: DataFrame) -> dict[str, DataFrame]:
+    """The six lists of the analysis document, each of bounded size."""
+    return {
+        "most_used_datasets": ranked_values(papers, "datasets"),
+        "most_common_metrics": ranked_values(papers, "metrics"),
+        "most_common_keywords": ranked_values(papers, "keywords"),
+        "most_connected_papers": most_connected_papers(nodes, edges),
+        "shared_benchmark_papers": shared_benchmarks(papers),
+        "keyword_clusters": keyword_clusters(papers),
+    }
+
+
+def ranking_frame(analysis: dict[str, DataFrame], key: str) -> DataFrame | None:
+    """One list of an analysis; None if it has no such list."""
+    return analysis.get(key)
+
+
+def metadata_grid(metadata: DataFrame) -> DataFrame:
+    return metadata.select("paper_id", "arxiv_id", "title", "published", "pdf_path")
+
+
+def metadata_only(texts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Texts that a metadata row's pdf_path names; all of them if there is no metadata at all."""
+    stem = F.regexp_replace(F.element_at(F.split("pdf_path", "/"), -1), r"\.[^.]*$", "")
+    held = metadata.where("pdf_path <> ''").select(stem.alias("paper_id"))
+    return texts if metadata.isEmpty() else texts.join(held, "paper_id", "left_semi")
+
+
+def paper_details(papers: DataFrame, quality: DataFrame) -> DataFrame:
+    """What a detail view shows: the paper with its quality row; the motivation stands in for a missing abstract."""
+    text = lambda f: F.coalesce(f, F.lit("")).alias(f)
+    listed = lambda f: F.coalesce(f, F.array().cast("array<string>")).alias(f)
+    shown = F.coalesce(F.nullif("abstract", F.lit("")), "motivation", F.lit("")).alias("abstract")
+    scores = quality.select("paper_id", "quality_score", "warning_count")
+    texts = ["arxiv_id", "year", "research_problem", "methodology", "main_results", "limitations", "future_work", "task", "method_name", "citation_context"]
+    lists = ["authors", "contributions", "datasets", "baselines", "metrics", "related_papers", "keywords"]
+    count = F.coalesce("warning_count", F.lit(0)).alias("warning_count")
+    title = F.coalesce("title", F.lit("Untitled")).alias("title")
+    return papers.join(scores, "paper_id", "left").select("paper_id", title, shown, *map(text, texts), *map(listed, lists), "quality_score", count)
+
+
+def counters(**tables: DataFrame) -> dict[str, int]:
+    """Rows of each table."""
+    return {name: df.count() for name, df in tables.items()}

@@ -29,10 +29,19 @@ def mentions(papers: DataFrame, aliases: dict[str, str] | None = None) -> DataFr
     return at.join(names.withColumn("target", T.node_id(F.col("type"), F.col("label"))), ["type", "raw"])
 
 
+def named_mentions(papers: DataFrame, *, aliases: dict[str, str] | None = None, fuzzy: bool = True) -> DataFrame:
+    """Mentions with the names that they resolve to. Nodes and edges both read it, so large ones are best stored."""
+    found = mentions(papers, aliases)
+    return (resolve(found) if fuzzy else found.withColumn("resolved", F.col("label"))).where("resolved <> ''")
+
+
 def build_graph(papers: DataFrame, *, aliases: dict[str, str] | None = None, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). `papers` has PAPER fields and paper_pos, their order."""
-    found = mentions(papers, aliases)
-    named = (resolve(found) if fuzzy else found.withColumn("resolved", F.col("label"))).where("resolved <> ''")
+    return graph_of(papers, named_mentions(papers, aliases=aliases, fuzzy=fuzzy))
+
+
+def graph_of(papers: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of papers and their named mentions."""
     order = F.struct(F.col("paper_pos").cast("long").alias("paper"), F.lit(-1).alias("field"), F.lit(0).alias("item"))
     text = lambda f: F.coalesce(f, F.lit("")).alias(f)
     own = papers.select(paper_key().alias("paper_id"), T.normalize_entity(F.coalesce(F.nullif("title", F.lit("")), paper_key())).alias("label"), text("year"), text("arxiv_id"), text("task"), text("method_name"), order.alias("ord"))

@@ -43,6 +43,16 @@ def score(n_warnings: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3)
 
 
+def quality_by_paper(report: DataFrame, pos: str = "pos") -> DataFrame:
+    """The last row (by `pos`) of each paper_id of a stored report: what a lookup by id finds."""
+    whole = F.struct(*[c for c in report.columns if c != pos])
+    return report.groupBy("paper_id").agg(F.max_by(whole, pos).alias("q")).select("q.*")
+
+
 def quality_report(papers: DataFrame) -> DataFrame:
-    at = papers.withColumn("warnings", warnings_of())
+    """A row a paper. Rows that share a paper_id share their warnings, in the order of the rows (paper_pos)."""
+    order = F.col("paper_pos") if "paper_pos" in papers.columns else F.lit(0)
+    held = papers.select("paper_id", F.struct(order.alias("at"), warnings_of().alias("w")).alias("x")).groupBy(F.col("paper_id").alias("of")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    shared = held.select("of", F.flatten(F.transform("x", lambda x: x["w"])).alias("warnings"))
+    at = papers.join(shared, F.col("paper_id").eqNullSafe(F.col("of"))).drop("of")
     return at.select("paper_id", score(F.size("warnings")).alias("quality_score"), F.size("warnings").alias("warning_count"), "warnings", "confidence", _count(PAPER_FIELDS).alias("extracted_field_count"), F.lit(len(PAPER_FIELDS)).alias("total_field_count"))

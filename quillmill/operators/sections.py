@@ -9,6 +9,10 @@ from quillmill.functions import text as T
 from quillmill.schema import SECTION_ALIASES, STOP_SECTIONS
 
 
+#: Longer lines are no headings: 80 characters of a name with a number, marks and white space around it.
+MAX_HEADING = 400
+
+
 def heading_name(line: Column) -> Column:
     """Canonical section of a heading line, `References` for the ones that end a paper, else null."""
     bare = F.regexp_replace(T.collapse_ends(line), r"(?iU)^\s*(?:\d+(?:\.\d+)*\.?|[ivxlc]+\.)\s+", "")
@@ -19,19 +23,41 @@ def heading_name(line: Column) -> Column:
     return out
 
 
+def by_paper(*order: str) -> Window:
+    return Window.partitionBy("paper_id").orderBy(*order)
+
+
 def sections(texts: DataFrame) -> DataFrame:
     """paper_id, pos, section_name, text: what stands before the first heading is Front Matter; the first
-    References heading ends the paper; a paper without headings or bodies is Full Paper."""
+    References heading ends the paper; a paper without headings or bodies is Full Paper. Spans are cut within a
+    row: heading lines are numbered, the lines between two of them are a slice."""
     whole = texts.select("paper_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = whole.select("paper_id", F.posexplode(T.lines_of(F.col("text"))).alias("n", "line")).withColumn("name", heading_name(F.col("line")))
-    order = Window.partitionBy("paper_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = lines.withColumn("pos", F.count("name").over(order)).withColumn("ended", F.coalesce(F.max(F.col("name") == "References").over(order), F.lit(False))).where("not ended")
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("name").isNull(), F.struct("n", "line")))), lambda x: x["line"]), "\n")
-    found = placed.groupBy("paper_id", "pos").agg(F.coalesce(F.max("name"), F.lit("Front Matter")).alias("section_name"), T.collapse_ends(body).alias("text")).where("text <> ''")
-    headed = lines.where("name is not null").select("paper_id").distinct()
-    found = found.join(headed, "paper_id", "left_semi")
-    rest = whole.join(found.select("paper_id").distinct(), "paper_id", "left_anti").select("paper_id", F.lit(0).cast("long").alias("pos"), F.lit("Full Paper").alias("section_name"), "text")
-    return found.unionByName(rest)
+    full = F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit("Full Paper").alias("section_name"), F.col("text").alias("text")))
+    return whole.select("paper_id", F.inline(F.coalesce(T.let(T.lines_of(F.col("text")), _spans), full)))
+
+
+def _spans(lines: Column) -> Column:
+    """Sections of a text's lines, as array<struct<pos, section_name, text>>; null if there are none."""
+    named = F.transform(lines, lambda x, k: F.struct(k.alias("n"), F.when(F.length(x) <= MAX_HEADING, heading_name(x)).alias("name")))
+    return T.let(F.filter(named, lambda x: x["name"].isNotNull()), lambda heads: _between(lines, heads))
+
+
+def _between(lines: Column, heads: Column) -> Column:
+    last = F.try_element_at(F.filter(heads, lambda x: x["name"] == "References"), F.lit(1))["n"]
+    end = F.coalesce(last, F.size(lines))
+    front = F.array(F.struct(F.lit(-1).alias("n"), F.lit("Front Matter").alias("name")))
+
+    def cut(held: Column, stop: Column) -> Column:
+        def span(x: Column, k: Column) -> Column:
+            size = F.coalesce(F.get(held, k + 1)["n"], stop) - x["n"] - 1
+            body = T.collapse_ends(F.array_join(F.slice(lines, x["n"] + 2, F.greatest(F.lit(0), size)), "\n"))
+            return F.struct(k.cast("long").alias("pos"), x["name"].alias("section_name"), body.alias("text"))
+
+        return F.when(F.size(heads) > 0, F.filter(F.transform(held, span), lambda s: s["text"] != ""))
+
+    before = lambda stop: F.concat(front, F.filter(heads, lambda x: x["n"] < stop))
+    found = T.let(end, lambda stop: T.let(before(stop), lambda held: cut(held, stop)))
+    return T.let(found, lambda f: F.when(F.size(f) > 0, f))
 
 
 def chunks(parts: DataFrame, most: int = 25_000) -> DataFrame:

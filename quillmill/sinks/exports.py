@@ -20,6 +20,7 @@ from quillmill.operators.graph import with_degree
 
 NODE_COLUMNS = ["id", "label", "type", "paper_id", "year", "color", "degree"]
 EDGE_COLUMNS = ["source", "target", "relation", "label"]
+# Fixed text: example queries, as they must be written.
 CYPHER_EXAMPLES = """// Most used datasets
 MATCH (p:Paper)-[:USES]->(d:Dataset)
 RETURN d.label AS dataset, count(p) AS papers
@@ -108,12 +109,16 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="utf-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n  <graph defaultedgetype="directed">\n    <nodes>\n')
+        keys = ["type", "paper_id", "year", "color"]
+        f.write('<?xml version="1.0" encoding="utf-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n  <graph defaultedgetype="directed">\n    <attributes class="node">\n')
+        f.writelines(f'      <attribute id="{n}" title="{k}" type="string"/>\n' for n, k in enumerate(keys))
+        f.write('    </attributes>\n    <attributes class="edge"><attribute id="0" title="relation" type="string"/></attributes>\n    <nodes>\n')
         for r in nodes.orderBy("ord").toLocalIterator():
-            f.write(f"      <node id={quoteattr(r['id'])} label={quoteattr(r['label'])}/>\n")
+            values = "".join(f'<attvalue for="{n}" value={quoteattr(str(r[k] or ""))}/>' for n, k in enumerate(keys))
+            f.write(f"      <node id={quoteattr(r['id'])} label={quoteattr(r['label'])}><attvalues>{values}</attvalues></node>\n")
         f.write("    </nodes>\n    <edges>\n")
         for k, r in enumerate(edges.orderBy("ord").toLocalIterator()):
-            f.write(f'      <edge id="{k}" source={quoteattr(r["source"])} target={quoteattr(r["target"])} label={quoteattr(r["relation"])}/>\n')
+            f.write(f'      <edge id="{k}" source={quoteattr(r["source"])} target={quoteattr(r["target"])} label={quoteattr(r["relation"])}><attvalues><attvalue for="0" value={quoteattr(r["relation"])}/></attvalues></edge>\n')
         f.write("    </edges>\n  </graph>\n</gexf>\n")
 
 
@@ -141,3 +146,86 @@ def write_html(nodes: DataFrame, edges: DataFrame, path: str, *, most: int = 250
         parts.append("</svg>")
     with open(path, "w", encoding="utf-8") as f:
         f.write("\n".join([*parts, "</body></html>\n"]))
+
+
+def write_single_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a header, for reports of bounded size; no rows give an empty file."""
+    import csv
+
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        out = None
+        for r in flat(df).toLocalIterator():
+            if out is None:
+                out = csv.writer(f)
+                out.writerow(df.columns)
+            out.writerow(["" if x is None else x for x in r])
+
+
+def write_document(value, path: str) -> None:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(value, f, indent=2, ensure_ascii=False)
+
+
+def write_analysis(analysis: dict[str, DataFrame], path: str, *, run_metadata: dict | None = None) -> None:
+    """The lists of an analysis as one document; each list is of bounded size."""
+    lists = {name: list(json_rows(df)) for name, df in analysis.items()}
+    write_document(lists if run_metadata is None else {"run_metadata": run_metadata, "analysis": lists}, path)
+
+
+def write_cypher_file(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The script of `cypher_lines` as one file."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(r["line"] + "\n" for r in cypher_lines(nodes, edges).toLocalIterator())
+
+
+def write_cypher_examples(path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(CYPHER_EXAMPLES)
+
+
+def write_texts(texts: DataFrame, folder: str) -> None:
+    """{paper_id}.txt files (rows: paper_id, text) in a folder that driver and user share."""
+    os.makedirs(folder, exist_ok=True)
+    for r in texts.toLocalIterator():
+        with open(os.path.join(folder, f"{r['paper_id']}.txt"), "w", encoding="utf-8") as f:
+            f.write(r["text"])
+
+
+def upsert_graph(nodes: DataFrame, edges: DataFrame, connect, *, batch: int = 1_000) -> None:
+    """Nodes, then edges, into a graph database. `connect()` gives, in each task, a function that runs a statement with
+    parameters; statements are upserts, so a task that runs again changes nothing."""
+    node = "UNWIND $rows AS r MERGE (n:KGNode {id: r.id}) SET n += r"
+    edge = "UNWIND $rows AS r MATCH (a:KGNode {id: r.source}), (b:KGNode {id: r.target}) MERGE (a)-[x:RELATED {relation: r.relation}]->(b)"
+
+    def send(statement: str):
+        def work(rows) -> None:
+            run, held = None, []
+            for r in rows:
+                run = run or connect()
+                held.append(r.asDict())
+                if len(held) >= batch:
+                    run(statement, rows=held)
+                    held = []
+            if held:
+                run(statement, rows=held)
+
+        return work
+
+    nodes.select("id", "label", "type", "paper_id", "year").foreachPartition(send(node))
+    edges.select("source", "target", "relation").foreachPartition(send(edge))
+
+
+def graph_database(uri: str, user: str, password: str, database: str | None = None):
+    """`connect` for `upsert_graph`, if the optional client is installed."""
+    try:
+        import neo4j
+    except ImportError as e:
+        raise RuntimeError("writing to a graph database needs the optional package neo4j") from e
+
+    def connect():
+        session = neo4j.GraphDatabase.driver(uri, auth=(user, password)).session(database=database)
+        return lambda statement, **values: session.run(statement, **values).consume()
+
+    return connect

@@ -167,7 +167,7 @@ def test_whole_run_and_exports(spark, tmp_path):
     src.mkdir()
     (src / "s1.txt").write_text("Title of it\n\nAttention for node classification on Cora with GCN and accuracy.")
     summary = pipeline.run(spark, str(src), str(tmp_path / "out"))
-    nodes, edges = spark.read.parquet(str(tmp_path / "out/nodes")), spark.read.parquet(str(tmp_path / "out/edges"))
+    nodes, edges = spark.read.parquet(str(tmp_path / "out/tables/nodes")), spark.read.parquet(str(tmp_path / "out/tables/edges"))
     assert (summary.papers, summary.nodes - 1) == (1, summary.edges)
     lines = [r[0] for r in exports.cypher_lines(nodes, edges).collect()]
     assert lines[2].startswith('MERGE (n:KGNode:Paper {id: "paper:s1"}) SET n += {id: "paper:s1", label: "Title of it", type: "Paper", paper_id: "s1"') and lines[-1].startswith("MATCH (a:KGNode")

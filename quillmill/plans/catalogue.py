@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 from quillmill.operators import analytics, entities, extract, graph, quality, sections
+from quillmill.plans import record_queries
 from quillmill.plans.runmeta import run_metadata
 from quillmill.schema import KNOWN_DATASETS
 
@@ -90,7 +91,8 @@ def nodes_by_type(spark, sf_dir, fuzzy=False):
 
 
 def list_values(spark, sf_dir):
-    return analytics.list_values(order_papers(spark, sf_dir), "keywords")
+    spaced = F.transform("keywords", lambda x: F.concat(F.lit("\t "), x, F.lit(" \n")))
+    return analytics.list_values(order_papers(spark, sf_dir).withColumn("keywords", spaced), "keywords")
 
 
 def filter_papers(spark, sf_dir):
@@ -153,7 +155,7 @@ def dehyphenate(spark, sf_dir):
 
 
 def page_number_lines(spark, sf_dir):
-    """Of all lines of each text and some that are made up. The SQL looks at the first nine characters only."""
+    """Of all lines of each text and some that are made up."""
     made = F.array(F.lit("- 12 -"), F.lit("123"), F.lit("12345"), F.lit("— 7"), F.concat(F.lit(" "), (F.col("doc_id") % 20000).cast("string"), F.lit("\t")))
     at = _docs(spark, sf_dir).select("doc_id", F.explode(F.concat(made, T.lines_of(F.coalesce("text", F.lit(""))))).alias("line"))
     return at.where(T.is_page_number(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -164,7 +166,6 @@ def truncate(spark, sf_dir):
 
 
 def safe_filename(spark, sf_dir):
-    """Of the whole text. The SQL cuts it to 300 characters first."""
     return _docs(spark, sf_dir).select("doc_id", T.safe_filename(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("a"), F.lit("/")), 60).alias("name"))
 
 
@@ -190,7 +191,7 @@ def merged_chunks(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("paper_id"), F.col("turn").alias("pos"), "role", F.col("text"))
     from quillmill.schema import LIST_FIELDS, PAPER_FIELDS
 
-    values = {"paper_id": F.col("paper_id"), "title": F.col("text"), "datasets": F.array("role"), "confidence": F.struct(*[(F.length("text") / 1000.0).alias(c) for c in ("datasets", "baselines", "metrics", "methodology")])}
+    values = {"paper_id": F.col("paper_id"), "title": F.concat(F.lit("\n \t"), "text", F.repeat(F.lit("\n"), F.col("pos").cast("int") % 7)), "datasets": F.array("role"), "confidence": F.struct(*[(F.length("text") / 1000.0).alias(c) for c in ("datasets", "baselines", "metrics", "methodology")])}
     at = rows.select("pos", *[values.get(f, F.array().cast("array<string>") if f in LIST_FIELDS else F.lit("")).alias(f) for f in PAPER_FIELDS])
     return extract.merge_chunks(at).select("paper_id", "title", F.size("datasets").alias("n_datasets"), F.col("confidence.metrics").alias("confidence"))
 
@@ -231,7 +232,9 @@ def page_noise(spark, sf_dir):
     head, foot = F.lit("Journal of Things\n"), F.lit("\n12")
     last = F.greatest(F.lit(3), F.ceil(F.length("text") / 200).cast("int") - 1)
     pages = F.transform(F.sequence(F.lit(0), last), lambda k: F.concat(head, F.substring("text", 1 + 200 * k, F.lit(200)), foot))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.drop_page_noise(pages), "\f").contains("Journal").alias("left"), F.array_join(T.drop_page_noise(pages), "\f").rlike(r"(?m)^12$").alias("number_left"))
+    left = _docs(spark, sf_dir).where("text is not null").select("doc_id", F.array_join(T.drop_page_noise(pages), "\n").alias("left"))
+    lines = left.select("doc_id", F.filter(F.split("left", "\n"), lambda x: x != "").alias("lines"))
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.encode(F.array_join("lines", "\n"), "UTF-8")).alias("digest"))
 
 
 def clean_texts(spark, sf_dir):
@@ -260,7 +263,7 @@ _OF_GRAPH = [most_connected, graph_nodes, graph_edges, node_degrees, nodes_by_ty
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES} | {f"{f.__name__}_merged": partial(f, fuzzy=True) for f in _OF_GRAPH}
+    return {f.__name__: f for f in _QUERIES} | record_queries.queries() | {f"{f.__name__}_merged": partial(f, fuzzy=True) for f in _OF_GRAPH}
 
 
 _LINES = """WITH l AS (SELECT o_orderkey AS pos, CAST(o_orderkey AS VARCHAR) AS pid, CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderpriority AS task, p_brand, p_type, p_name, l_returnflag,
@@ -279,7 +282,7 @@ _RANK = _LINES + " SELECT {0} AS label, count(*) AS count FROM l GROUP BY {0} OR
 def oracle_sql() -> dict[str, str]:
     color = "CASE type WHEN 'Paper' THEN '#4C78A8' WHEN 'Dataset' THEN '#F58518' WHEN 'Baseline' THEN '#E45756' WHEN 'Metric' THEN '#72B7B2' ELSE '#B279A2' END"
     term = lambda t: f"CASE WHEN regexp_matches(t, '(?i)(^|[^A-Za-z0-9-]){t}($|[^A-Za-z0-9-])') THEN '{t}' END"
-    return {
+    return record_queries.oracle_sql() | {
         "rank_datasets": _RANK.format("p_brand"),
         "rank_metrics": _RANK.format("l_returnflag"),
         "rank_keywords": _RANK.format("p_name"),
@@ -303,17 +306,16 @@ def oracle_sql() -> dict[str, str]:
         "builtin_keywords": r"WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 5) AS w FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(w, lambda x: trim(lower(x), '.,:;()[]{}'))[1:200]))[1:8], '|') AS keywords FROM d",
         "builtin_records": "WITH d AS (SELECT doc_id, 'Cora ' || text AS t FROM documents) SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'On Attention' AS title, 'lightweight attention message passing' AS method_name, concat_ws(',', " + ", ".join(map(term, KNOWN_DATASETS)) + ") AS datasets, 0.7::DOUBLE AS confidence FROM d",
         "dehyphenate": r"SELECT doc_id, regexp_replace(regexp_replace(text, '([a-z])t([a-z])', '\1t-' || chr(10) || '\2', 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g') AS text FROM documents",
-        "page_number_lines": r"WITH x AS (SELECT doc_id, unnest(['- 12 -', '123', '12345', '— 7', ' ' || CAST(doc_id % 20000 AS VARCHAR), left(text, 9)]) AS line FROM documents) SELECT doc_id, count(*) AS n FROM x WHERE regexp_full_match(trim(line), '[-–—]?\s*[0-9]{1,4}\s*[-–—]?') GROUP BY doc_id",
+        "page_number_lines": r"WITH x AS (SELECT doc_id, unnest(['- 12 -', '123', '12345', '— 7', ' ' || CAST(doc_id % 20000 AS VARCHAR)] || string_split(coalesce(text, ''), chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n FROM x WHERE regexp_full_match(trim(line), '[-–—]?\s*[0-9]{1,4}\s*[-–—]?') GROUP BY doc_id",
         "truncate": "SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE left(text, 700) || chr(10) || chr(10) || '[... middle content truncated ...]' || chr(10) || chr(10) || right(text, 300) END AS text FROM documents",
-        "safe_filename": r"SELECT doc_id, left(coalesce(nullif(trim(regexp_replace(trim(regexp_replace(left(replace(replace(text, chr(10), ' '), 'a', '/'), 300), '[^\p{L}\p{N}_\s.-]', '', 'g')), '\s+', '_', 'g'), '._'), ''), 'untitled'), 60) AS name FROM documents",
+        "safe_filename": r"SELECT doc_id, left(coalesce(nullif(trim(regexp_replace(trim(regexp_replace(replace(replace(text, chr(10), ' '), 'a', '/'), '[^\p{L}\p{N}_\s.-]', '', 'g')), '\s+', '_', 'g'), '._'), ''), 'untitled'), 60) AS name FROM documents",
         "first_sentence": r"WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), s AS (SELECT doc_id, coalesce(nullif(regexp_extract(t, '^(.+?[.!?])\s', 1), ''), t) AS s FROM c) SELECT doc_id, CASE WHEN length(s) > 80 THEN rtrim(left(s, 77)) || '...' ELSE s END AS sentence FROM s",
         "canonical_keys": "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' -- ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS key, 'dataset:' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS id FROM part",
         "alias_labels": "SELECT p_partkey, CASE p_brand WHEN 'Brand#1' THEN 'One' WHEN 'Brand#2' THEN 'Two' ELSE p_brand END AS label FROM part",
-        "merged_chunks": "SELECT CAST(conv_id AS VARCHAR) AS paper_id, arg_max(trim(text), length(trim(text)) * 1000000 - turn) AS title, CAST(count(DISTINCT role) AS INTEGER) AS n_datasets, max(length(text) / 1000.0) AS confidence FROM conversations GROUP BY conv_id",
+        "merged_chunks": r"SELECT CAST(conv_id AS VARCHAR) AS paper_id, arg_max(regexp_replace(text, '^\s+|\s+$', '', 'g'), length(regexp_replace(text, '^\s+|\s+$', '', 'g')) * 1000000 - turn) AS title, CAST(count(DISTINCT role) AS INTEGER) AS n_datasets, max(length(text) / 1000.0) AS confidence FROM conversations GROUP BY conv_id",
         "missing_fields": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 20 ELSE 21 END AS INTEGER) AS n_missing FROM documents",
         "quality_warnings": _LINES + ", p AS (SELECT DISTINCT pos, pid FROM l) SELECT pid AS paper_id, 'datasets' AS field, 'No datasets were extracted.' AS warning FROM p WHERE pos % 3 = 0 UNION ALL SELECT pid, 'methodology', 'Methodology is shorter than 8 words.' FROM p WHERE pos % 2 = 1",
         "quality_report": _LINES + ", p AS (SELECT DISTINCT pos, pid, CAST(pos % 3 = 0 AS INT) + CAST(pos % 2 = 1 AS INT) AS w FROM l) SELECT pid AS paper_id, round((5 + CAST(pos % 3 <> 0 AS INT)) / 9.0::DOUBLE * 0.75 + (0.7 + 0.7 + 0.0 + 0.45)::DOUBLE / 4 * 0.25 - least(0.35, w * 0.08), 3) AS quality_score, CAST(w AS INTEGER) AS warning_count, CAST(9 + CAST(pos % 3 <> 0 AS INT) AS INTEGER) AS extracted_field_count, CAST(23 AS INTEGER) AS total_field_count FROM p",
-        "page_noise": "SELECT doc_id, false AS left, false AS number_left FROM documents",
         "metadata_only": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "pending_texts": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "run_stamp": "SELECT 'paper_extraction.v1' AS schema_version, sha256('extract') AS prompt_sha256, '' AS prompt_path, 'mock' AS provider, 'mock' AS model, '2020-01-01T00:00:00Z' AS created_at",

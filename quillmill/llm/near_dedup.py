@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.base import dropped, hot_rows, made_so_far, parts_of, remove_since, spread_join, written
 
 #: Classes a block of an open bucket; bytes of sets in a group of small open buckets.
-BLOCK, GROUP_BYTES = 256, 8_000_000
+BLOCK, GROUP_BYTES = 256, 1_000_000
 BROADCAST_IDS = 2_000_000
 COLUMNS = 8_192
 SLICE = 200

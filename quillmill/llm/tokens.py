@@ -7,8 +7,8 @@ whole inside a unit, which the library encodes by its own rules.
 
 Tier 1 is a broadcast table of the lengths of frequent pre-tokens (at most `table_size` entries),
 found in a bounded sample of documents; it is a cache only and never changes a count. Tier 2 is a
-cache of each Python worker, filled by the library itself and emptied when full. No pre-token of the
-corpus is ever shuffled; the sample's short per-task summaries are all that is merged.
+cache of each Python worker, filled by the library itself, in two generations of bounded size. No pre-token of the
+corpus is ever shuffled; only the short per-task summaries of the sample (about SAMPLE_DOCS documents) are.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); long units are encoded but not
 cached; repeated rows are counted alike; an empty table gives an empty result.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 TABLE_SIZE = 30_000
 SAMPLE_DOCS = 3_000
-CACHE_SIZE = 150_000
+CACHE_SIZE = 80_000
 SLICE = 500
 CACHED_LENGTH = 48
 
@@ -41,16 +41,21 @@ def load_tokenizer(path: str):
 
 
 class UnitCache(dict):
-    """pre-token -> made(ids); asks the library for what it lacks. Bounded: emptied when full."""
+    """pre-token -> made(ids); asks the library for what it lacks. Bounded: when full, it becomes the older
+    generation, from which what is asked for again comes back."""
 
     def __init__(self, encode: Callable[[str], object], first: dict | None = None, size: int = CACHE_SIZE):
         super().__init__(first or {})
         self.encode, self.first, self.most = encode, first or {}, size + len(first or {})
+        self.older: dict = {}
 
     def __missing__(self, unit: str):
-        made = self.encode(unit)
+        made = self.older.get(unit)
+        if made is None:
+            made = self.encode(unit)
         if len(unit) <= CACHED_LENGTH:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
                 self.update(self.first)
             self[unit] = made

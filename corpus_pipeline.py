@@ -68,7 +68,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    """Packs what is left. Workers keep few words here, as they hold what the other stages need as well."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), words_kept=60_000)
 
 
 STAGES = [

@@ -39,8 +39,8 @@ WORD = re.compile(r"[\S\x1c-\x1f]+")
 PLAIN = re.compile(r"[!-&(-;=-~]+")
 PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 CAPACITY = 4096
-#: Words of a worker's cache, and pieces of its other one: about 50 MB in all.
-WORDS_KEPT = 120_000
+#: Words that a generation of a worker's cache holds (there are two): about 100 MB in all.
+WORDS_KEPT = 300_000
 SLICE = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are numbered in groups of about so many.
@@ -60,7 +60,7 @@ def cuts_plainly(tokenizer) -> bool:
 
 
 @lru_cache(maxsize=1)
-def word_ids(tokenizer_path: str) -> UnitCache:
+def word_ids(tokenizer_path: str, words_kept: int = WORDS_KEPT) -> UnitCache:
     """Word -> its ids as bytes; kept by the Python worker from task to task.
 
     Plain words are cut here and only the model is asked, once for each piece; others go through the library whole."""
@@ -70,7 +70,7 @@ def word_ids(tokenizer_path: str) -> UnitCache:
     def stored(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    piece = UnitCache(lambda p: stored([t.id for t in model.tokenize(p)]), size=WORDS_KEPT)
+    piece = UnitCache(lambda p: stored([t.id for t in model.tokenize(p)]), size=words_kept // 4)
 
     def encode(word: str) -> bytes:
         if plain and word.isalpha() and word.isascii():
@@ -79,14 +79,14 @@ def word_ids(tokenizer_path: str) -> UnitCache:
             return b"".join(map(piece.__getitem__, PIECE.findall(word.lower())))
         return stored(tokenizer.encode(word, add_special_tokens=False).ids)
 
-    return UnitCache(encode, size=WORDS_KEPT)
+    return UnitCache(encode, size=words_kept)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1, words_kept: int = WORDS_KEPT) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every document's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer_path)
+        ids = word_ids(tokenizer_path, words_kept)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             out: list[list] = [[], [], [], [], []]
@@ -251,5 +251,6 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    return pack(written(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id), "pieces"), capacity=capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1, words_kept: int = WORDS_KEPT) -> DataFrame:
+    cut = pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, words_kept=words_kept)
+    return pack(written(cut, "pieces"), capacity=capacity)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
@@ -48,41 +49,91 @@ def canonical_labels(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     return at.withColumn("label", F.coalesce("by_type", "by_name", T.normalize_entity(F.col("raw")))).drop("key", "typed_key", "by_type", "by_name")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the checkpoint folder, which driver and executors share."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or f"file://{tempfile.gettempdir()}/quillmill-shared")
+    return df.checkpoint()
+
+
+def rare_grams(keys: DataFrame, ratio: float) -> DataFrame:
+    """(type, gram, key, ord, n) of so many of a key's rarest grams that two keys of this ratio or more share one.
+
+    A ratio bounds the characters that one key lacks of the other, and each of them changes at most `width`
+    grams; so many grams and one more can't all be missing. Repeated grams of a key are numbered. Keys
+    too short to be near any other than themselves have none."""
+    width = 2 if ratio >= 0.9 else 1  # below that, two short keys need not share a pair of characters
+    n = F.length("key")
+    longest = F.floor(n * ((2 - ratio) / ratio) + 1e-6)
+    cut = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.substring("key", i, F.lit(width)))
+    at = keys.select("type", "key", "ord", n.alias("n")).where((1 - ratio) * (n + longest) >= 1 - 1e-6).withColumn("cut", cut)
+    each = F.transform(F.array_distinct("cut"), lambda g: F.transform(F.sequence(F.lit(1), F.size(F.filter("cut", lambda x: x == g))), lambda k: F.concat(g, k.cast("string"))))
+    grams = at.select("type", "key", "ord", "n", F.explode(F.flatten(each)).alias("gram"))
+    known = grams.groupBy("type", "gram").agg(F.count("*").alias("seen")).where("seen > 1")
+    ranked = grams.join(known, ["type", "gram"], "left").withColumn("k", F.row_number().over(Window.partitionBy("type", "key").orderBy(F.coalesce("seen", F.lit(1)), "gram")))
+    most = F.floor(F.col("n") * (width * (2 - 2 * ratio) / (2 - ratio)) + 1e-6) + 1
+    return ranked.where((F.col("k") <= most) & F.col("seen").isNotNull()).select("type", "gram", "key", "ord", "n")
+
+
+def near_keys(keys: DataFrame, ratio: float) -> DataFrame:
+    """(type, earlier, later, ord) of different keys of a type whose ratio is at least `ratio`; `ord` is the earlier one's.
+    Only keys that share a rare gram and whose lengths allow it are compared."""
+
+    @F.pandas_udf("boolean")
+    def near(later: pd.Series, earlier: pd.Series) -> pd.Series:
+        matchers = (SequenceMatcher(None, x, y) for x, y in zip(later, earlier))  # the order of arguments matters to the ratio
+        return pd.Series([m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio for m in matchers], dtype=bool)
+
+    grams = stored(rare_grams(keys, ratio))
+    side = lambda name: grams.select("type", "gram", F.col("key").alias(name), F.col("ord").alias(f"{name}_ord"), F.col("n").alias(f"{name}_n"))
+    lengths = ratio * (F.col("earlier_n") + F.col("later_n")) <= 2 * F.least("earlier_n", "later_n") + 1e-6
+    before = F.struct("earlier_ord", "earlier") < F.struct("later_ord", "later")
+    pairs = side("earlier").join(side("later"), ["type", "gram"]).where(before & lengths)
+    pairs = pairs.select("type", "earlier", "later", F.col("earlier_ord").alias("ord")).distinct()
+    return pairs.where(near("later", "earlier"))
+
+
+def merged_keys(keys: DataFrame, ratio: float) -> DataFrame:
+    """(type, key, into) of the keys that an earlier one stands for: the first of those near it that stands for itself.
+
+    In a round, keys with no earlier one near stand for themselves and those near them are merged; pairs with a
+    merged key go. Rounds end when no pair is left, so there are as many as the longest run of such decisions."""
+    pairs = stored(near_keys(keys, ratio))
+    left, merged = pairs, None
+    while not left.isEmpty():
+        waiting = left.select("type", F.col("later").alias("earlier")).distinct()
+        gone = left.join(waiting, ["type", "earlier"], "left_anti").select("type", F.col("later").alias("key")).distinct()
+        merged = stored(gone if merged is None else merged.union(gone))
+        for end in ("earlier", "later"):
+            left = left.join(merged.withColumnRenamed("key", end), ["type", end], "left_anti")
+        left = stored(left)
+    if merged is None:
+        return pairs.select("type", F.col("later").alias("key"), F.col("earlier").alias("into"))
+    own = pairs.join(merged.withColumnRenamed("key", "earlier"), ["type", "earlier"], "left_anti").join(merged.withColumnRenamed("key", "later"), ["type", "later"], "left_semi")
+    return own.groupBy("type", F.col("later").alias("key")).agg(F.min_by("earlier", F.struct("ord", "earlier")).alias("into"))
+
+
 def resolve(mentions: DataFrame, *, ratio: float = FUZZY_RATIO, fuzzy: bool = True) -> DataFrame:
     """Adds `resolved` and its node `target` to mentions (type, label, ord): the first earlier label of the type whose key is
-    close enough, else the label. A label resolves alike each time, so only distinct labels are compared;
-    an empty label takes the first label with an empty key that came before it, else it is null."""
+    close enough, else the label. Labels of one key resolve alike each time, so only distinct keys are compared, and of
+    those only such as share a rare gram; an empty label takes the first label with an empty key that came before
+    it, else it is null. The fuzzy merge runs jobs at once."""
     key = T.canonical_key(F.col("label"))
     labels = mentions.where("label <> ''").groupBy("type", "label").agg(F.min("ord").alias("ord")).withColumn("key", key)
-
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        held: list[tuple[str, str]] = []
-        exact: dict[str, str] = {}
-        out = []
-        for label, k in zip(part["label"], part["key"]):
-            hit = None
-            matcher = SequenceMatcher(None, k, "")
-            for old, old_key in held if fuzzy else ():
-                if old_key == k:
-                    hit = old
-                    break
-                # cheap upper bounds first; the order of arguments matters to the ratio
-                if not k or not old_key or 2 * min(len(k), len(old_key)) < ratio * (len(k) + len(old_key)):
-                    continue
-                matcher = SequenceMatcher(None, k, old_key)
-                if matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio and matcher.ratio() >= ratio:
-                    hit = old
-                    break
-            hit = hit or exact.get(k)
-            if hit is None:
-                held.append((label, k))
-                exact[k] = hit = label
-            out.append(hit)
-        return pd.DataFrame({"type": part["type"], "label": part["label"], "resolved": out})
-
-    ordered = labels.withColumn("place", F.format_string("%012d%04d%08d", "ord.paper", "ord.field", "ord.item"))
-    found = ordered.select("type", "label", "key", "place").groupBy("type").applyInPandas(greedy, "type string, label string, resolved string")
+    keys = labels.groupBy("type", "key").agg(F.min("ord").alias("ord"), F.min_by("label", F.struct("ord", "label")).alias("first"))
+    if fuzzy:
+        keys = stored(keys)
+        into = merged_keys(keys.select("type", "key", "ord"), ratio)
+        at = keys.join(into, ["type", "key"], "left").withColumn("into", F.coalesce("into", "key"))
+        heads = keys.select("type", F.col("key").alias("into"), F.col("first").alias("resolved"))
+        keys = at.join(heads, ["type", "into"]).select("type", "key", "resolved")
+    else:
+        keys = keys.select("type", "key", F.col("first").alias("resolved"))
+    found = labels.select("type", "label", "key").join(keys, ["type", "key"]).select("type", "label", "resolved")
     empty = labels.where("key = ''").groupBy("type").agg(F.min_by("label", "ord").alias("empty_label"), F.min("ord").alias("empty_ord"))
     found = found.withColumn("near", T.node_id(F.col("type"), F.col("resolved")))
     empty = empty.withColumn("empty_target", T.node_id(F.col("type"), F.col("empty_label")))

@@ -55,6 +55,28 @@ def greedy(labels, ratio=0.94):
     return out
 
 
+def test_fuzzy_merge_of_many_near_labels(spark):
+    """Runs of labels each near the next, in any order, short, long and repeated, against the sequential merge."""
+    rng = random.Random(5)
+    letters = "abcdefgh 12"
+    pool = []
+    for size in [4, 8, 9, 17, 18, 34, 35, 50, 120, 230] * 2:
+        word = "".join(rng.choice(letters) for _ in range(size))
+        for _ in range(9):
+            pool.append(word)
+            at = rng.randrange(1, len(word)) if len(word) > 1 else 0
+            word = word[:at] + rng.choice(["", rng.choice(letters), rng.choice(letters) + word[at : at + 1]]) + word[at + 1 :]
+    pool += [x.upper() for x in pool[::7]] + ["--", "!!"]
+    rng.shuffle(pool)
+    for ratio in (0.94, 0.8):
+        rows = [("Keyword", x, (k, 0, 0)) for k, x in enumerate(pool)]
+        df = spark.createDataFrame(rows, "type string, label string, ord struct<paper:long,field:int,item:int>").withColumn("target", F.lit(""))
+        got = {r["ord"]["paper"]: r["resolved"] for r in entities.resolve(df, ratio=ratio).collect()}
+        want = greedy(pool, ratio)
+        assert [got[k] for k in range(len(pool))] == want
+        assert len({x for x in want}) < len({entities._python_key(x) for x in pool})
+
+
 def test_fuzzy_merge_is_first_match_in_order(spark):
     rng = random.Random(3)
     pool = ["CIFAR-10", "CIFAR-100", "cifar 10", "数据", "数据集", "", "old bolt", "cold bolt", "ImageNet", "Image Net 1", "nation 1", "nation 12", "nation 123"]

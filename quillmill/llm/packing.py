@@ -23,7 +23,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,12 +35,15 @@ from quillmill.llm.base import written
 from quillmill.llm.tokens import UnitCache, load_tokenizer
 
 WORD = re.compile(r"[\S\x1c-\x1f]+")
-#: Printable ASCII without apostrophes (contractions) and < (special strings): such words are cut by PIECE in lower case.
-PLAIN = re.compile(r"[!-&(-;=-~]+")
-PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Plain characters are printable ASCII without apostrophes (contractions) and < (special strings) and the letters of
+#: Latin-1; PIECE cuts text of them in lower case.
+PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+#: Finds what is neither plain nor ASCII white space.
+ODD = re.compile(r"[^\t-\r !-&(-;=-~À-ÖØ-öø-ÿ]")
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\s]+")
 CAPACITY = 4096
-#: Words that a generation of a worker's cache holds (there are two): about 100 MB in all.
-WORDS_KEPT = 300_000
+#: Pieces and words that a generation of each of a worker's two caches holds (there are two generations).
+WORDS_KEPT = 100_000
 SLICE = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are numbered in groups of about so many.
@@ -49,49 +52,64 @@ GROUP_ROWS = 50_000
 GAP = 0.001
 
 
-def cuts_plainly(tokenizer) -> bool:
-    """Whether the tokenizer cuts plain words as PIECE does, tried on all pairs of their characters."""
-    marks = [chr(c) for c in range(33, 127) if PLAIN.match(chr(c))]
-    tried = "".join(a + b for a in marks for b in marks)
-    made = tokenizer.normalizer.normalize_str(tried) if tokenizer.normalizer else tried
-    cut = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(made)] if tokenizer.pre_tokenizer else [made]
+def plain_marks(tokenizer) -> dict[int, str] | None:
+    """What the tokenizer's model sees in place of each plain character in lower case, or None where the tokenizer
+    does not cut plain text as PIECE does, tried on all pairs of plain characters."""
+
+    def cut(text: str) -> list[str]:
+        text = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer else [text]
+
+    plain = [chr(c) for c in range(33, 256) if PLAIN.match(chr(c))]
+    marks = {ord(c): "".join(cut(c)) for c in plain if c == c.lower()}
+    tried = "".join(a + b for a in plain for b in plain)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return cut == PIECE.findall(tried.lower()) and not any(PLAIN.fullmatch(t) for t in special)
+    same = cut(tried) == [p.translate(marks) for p in PIECE.findall(tried.lower())]
+    return marks if same and all(map(ODD.search, special)) else None
 
 
 @lru_cache(maxsize=1)
-def word_ids(tokenizer_path: str, words_kept: int = WORDS_KEPT) -> UnitCache:
-    """Word -> its ids as bytes; kept by the Python worker from task to task.
+def text_encoder(tokenizer_path: str, words_kept: int = WORDS_KEPT) -> Callable[[str], bytes]:
+    """Text -> its ids as bytes; the Python worker keeps it, with its caches, from task to task.
 
-    Plain words are cut here and only the model is asked, once for each piece; others go through the library whole."""
+    Plain text is cut here and only the model is asked, once for each piece; a text with other characters is cut
+    into words, and the words that have them go through the library whole."""
     tokenizer = load_tokenizer(tokenizer_path)
-    model, plain = tokenizer.model, cuts_plainly(tokenizer)
+    model, marks = tokenizer.model, plain_marks(tokenizer)
 
     def stored(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    piece = UnitCache(lambda p: stored([t.id for t in model.tokenize(p)]), size=words_kept // 4)
+    piece = UnitCache(lambda p: stored([t.id for t in model.tokenize(p.translate(marks))]), size=words_kept)
+
+    def encode_plain(text: str) -> bytes:
+        return b"".join(map(piece.__getitem__, PIECE.findall(text.lower())))
 
-    def encode(word: str) -> bytes:
-        if plain and word.isalpha() and word.isascii():
-            return piece[word.lower()]
-        if plain and PLAIN.fullmatch(word):
-            return b"".join(map(piece.__getitem__, PIECE.findall(word.lower())))
+    def encode_word(word: str) -> bytes:
+        if marks and PLAIN.fullmatch(word):
+            return encode_plain(word)
         return stored(tokenizer.encode(word, add_special_tokens=False).ids)
 
-    return UnitCache(encode, size=words_kept)
+    words = UnitCache(encode_word, size=words_kept)
+
+    def encode(text: str) -> bytes:
+        if marks and not ODD.search(text):
+            return encode_plain(text)
+        return b"".join(map(words.__getitem__, WORD.findall(text)))
+
+    return encode
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, end_id: int = 1, words_kept: int = WORDS_KEPT) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every document's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer_path, words_kept)
+        encode = text_encoder(tokenizer_path, words_kept)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             out: list[list] = [[], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = b"".join(map(ids.__getitem__, WORD.findall(text))) + end
+                whole = encode(text) + end
                 for k, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
                     for column, value in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part))):

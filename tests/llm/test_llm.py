@@ -180,13 +180,16 @@ def test_packing(docs):
     assert len(held) <= -(-sum(r["length"] for r in rows) // 4096) + 1
 
 
-def test_plain_words_as_the_library():
-    library, ids = tokens.load_tokenizer(vocabulary("word_bpe_49k.json")), packing.word_ids(vocabulary("word_bpe_49k.json"))
-    assert packing.cuts_plainly(library) and not packing.cuts_plainly(tokens.load_tokenizer(vocabulary("byte_bpe_50k.json")))
-    for _ in range(5000):
-        word = "".join(RNG.choice("aBzZ09'<>.,-|_!é\x1c") for _ in range(RNG.randint(1, 9)))
-        want = library.encode(word, add_special_tokens=False).ids
-        assert np.frombuffer(ids[word], "<u4").tolist() == want, word
+def test_texts_as_the_library():
+    library, encode = tokens.load_tokenizer(vocabulary("word_bpe_49k.json")), packing.text_encoder(vocabulary("word_bpe_49k.json"))
+    assert packing.plain_marks(library) and not packing.plain_marks(tokens.load_tokenizer(vocabulary("byte_bpe_50k.json")))
+    plain = [c for c in map(chr, range(32, 256)) if c in " \t\n" or packing.PLAIN.match(c)]
+    odd = [*map(chr, range(1, 256)), *"’ıİſẞŸΣς中\u0308\u2003", "<|endoftext|>", "<|STARTOFTEXT|>", "'s ", "'RE"]
+    for marks in (plain, odd, plain + odd):
+        for _ in range(3000):
+            text = "".join(RNG.choice(marks) for _ in range(RNG.randint(0, 30)))
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encode(text), "<u4").tolist() == want, text
 
 
 def test_program_is_near_the_bound():

@@ -43,7 +43,7 @@ ODD = re.compile(r"[^\t-\r !-&(-;=-~À-ÖØ-öø-ÿ]")
 PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\s]+")
 CAPACITY = 4096
 #: Pieces and words that a generation of each of a worker's two caches holds (there are two generations).
-WORDS_KEPT = 100_000
+WORDS_KEPT = 150_000
 SLICE = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are numbered in groups of about so many.

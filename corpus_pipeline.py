@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import cotraining, decontam, near_dedup, packing, quality_rules
-from quillmill.llm.base import folders_of, made_so_far, remove, remove_since, shared_dir, table
+from quillmill.llm.base import folders_of, give_back, made_so_far, remove, remove_since, shared_dir, table
 from quillmill.llm.queries import vocabulary
 
 
@@ -24,7 +24,7 @@ _left: list[str] = []
 
 def tidy(stage: Stage) -> Stage:
     """A stage's result is stored before the next stage is called, so what its operator stored on the way is then
-    removed, unless `docs` reads it."""
+    removed, unless `docs` reads it, and memory that the driver freed is given back."""
 
     @wraps(stage)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def tidy(stage: Stage) -> Stage:
         for folder in [x for x in _left if x not in read]:
             remove(spark, folder)
             _left.remove(folder)
+        give_back(spark)
         before = made_so_far()
         out = stage(spark, docs, sf_dir)
         _left.extend(set(made_so_far()) - set(before))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,22 @@ def remove_since(spark: SparkSession, before: list[str], *needed: DataFrame) ->
         remove(spark, folder)
 
 
+def give_back(spark: SparkSession) -> bool:
+    """Hands memory that the driver's JVM has freed outside its heap back to the system. Each broadcast and exchange
+    has a thread there, and the allocator keeps what threads and the compiler have freed. False where the JVM can't."""
+    jvm = spark._jvm
+    beans, name = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    given = [(name, "javax.management.ObjectName"), ("systemTrimNativeHeap", "java.lang.String"), (None, "[Ljava.lang.Object;"), (None, "[Ljava.lang.String;")]
+    kinds, values = (spark.sparkContext._gateway.new_array(kind, len(given)) for kind in (jvm.java.lang.Class, jvm.java.lang.Object))
+    for k, (value, kind) in enumerate(given):
+        kinds[k], values[k] = jvm.java.lang.Class.forName(kind), value
+    try:  # by the interface's method: the bean server's own class is closed to others
+        jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(beans, values)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def hot_rows(total: int) -> int:
     return max(HOT_ROWS, int(total * HOT_SHARE))
 

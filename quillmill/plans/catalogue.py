@@ -123,10 +123,10 @@ def keyword_papers(spark, sf_dir, fuzzy=False):
     return analytics.keyword_papers(*_graph(spark, sf_dir, fuzzy), "BOLT")
 
 
-def shared_pairs(spark, sf_dir):
+def shared_pairs(spark, sf_dir, fuzzy=False):
     papers = order_papers(spark, sf_dir)
     lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_pos")).agg(F.sort_array(F.collect_set(F.concat(F.lit("part "), F.col("l_partkey").cast("string")))).alias("datasets"))
-    return analytics.shared_pairs(*graph.build_graph(papers.drop("datasets").join(lines, "paper_pos"), fuzzy=False))
+    return analytics.shared_pairs(*graph.build_graph(papers.drop("datasets").join(lines, "paper_pos"), fuzzy=fuzzy))
 
 
 def _docs(spark, sf_dir):
@@ -259,7 +259,7 @@ _QUERIES = [
     node_view, edge_view, top_datasets, keyword_papers, shared_pairs, known_terms, builtin_keywords, builtin_records, dehyphenate, page_number_lines, truncate, safe_filename, first_sentence, canonical_keys, alias_labels,
     fuzzy_labels, merged_chunks, missing_fields, quality_warnings, quality_report, section_spans, section_chunks, page_noise, clean_texts, metadata_only, pending_texts, run_stamp,
 ]
-_OF_GRAPH = [most_connected, graph_nodes, graph_edges, node_degrees, nodes_by_type, node_view, edge_view, top_datasets, keyword_papers]
+_OF_GRAPH = [most_connected, graph_nodes, graph_edges, node_degrees, nodes_by_type, node_view, edge_view, top_datasets, keyword_papers, shared_pairs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -102,6 +102,16 @@ def test_registered_graph_is_merged(spark, tmp_path):
     assert ask("graph_nodes").where("type = 'Keyword'").count() == 3
 
 
+def test_registered_shared_pairs_are_merged(spark, tmp_path):
+    parts = [123, 1230, 77, 123, 1239]
+    spark.createDataFrame([(k, 1, x, 1, 1.0, "R") for k, x in enumerate(parts)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(x, "Brand#1", "T", "n") for x in set(parts)], "p_partkey long, p_brand string, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("SELECT id AS o_orderkey, DATE '2020-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(5)").write.parquet(f"{tmp_path}/orders.parquet")
+    for name, labels in (("shared_pairs", [f"part {x}" for x in parts]), ("shared_pairs_merged", greedy([f"part {x}" for x in parts]))):
+        want = sorted((d, f"Order {a}", f"Order {b}") for a, d in enumerate(labels) for b, e in enumerate(labels) if d == e and a < b)
+        assert sorted(map(tuple, catalogue.queries()[name](spark, str(tmp_path)).collect())) == want and want
+
+
 def test_rankings_and_benchmarks(spark):
     df = papers(spark, {"datasets": ["Cora", "cora", "Cora"]}, {"datasets": ["Cora", "image net"]}, {"datasets": ["ImageNet"]})
     assert [tuple(r) for r in analytics.ranked_values(df, "datasets").collect()] == [("Cora", 3), ("ImageNet", 2), ("cora", 1)]

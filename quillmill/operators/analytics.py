@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import collapse_ends
-from quillmill.operators.entities import canonical_label
+from quillmill.operators.entities import canonical_label, stored
 from quillmill.operators.graph import paper_key, with_degree
 
 
@@ -118,7 +118,7 @@ def node_view(nodes: DataFrame, edges: DataFrame, *, types: Sequence[str], least
 
 
 def edge_view(edges: DataFrame, shown: DataFrame) -> DataFrame:
-    ids = shown.select("id")
+    ids = stored(shown.select("id"))  # a view's nodes are few, and found once
     if ids.isEmpty():
         return edges
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")

@@ -28,7 +28,7 @@ def order_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAPER-like rows with paper_pos. One shuffle by order; parts are joined as Spark sees fit."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
     parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_name")
-    held = lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    held = lines.join(parts, "l_partkey").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey"))  # no sort before the shuffle: an order's lines lie apart
     held = held.agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "p_brand", "p_type", "p_name"))).alias("i"))  # an order's lines are few
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     at = held.join(orders, "o_orderkey")
@@ -43,7 +43,7 @@ def order_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str, fuzzy: bool = False) -> tuple[DataFrame, DataFrame]:
     """SQL can't say the fuzzy merge: the queries with SQL are of the graph before it, those named _merged after it."""
-    return graph.build_graph(order_papers(spark, sf_dir), fuzzy=fuzzy)
+    return graph.build_graph(entities.stored(order_papers(spark, sf_dir)), fuzzy=fuzzy)
 
 
 def rank_datasets(spark, sf_dir):
@@ -125,8 +125,8 @@ def keyword_papers(spark, sf_dir, fuzzy=False):
 
 def shared_pairs(spark, sf_dir, fuzzy=False):
     papers = order_papers(spark, sf_dir)
-    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paper_pos")).agg(F.sort_array(F.collect_set(F.concat(F.lit("part "), F.col("l_partkey").cast("string")))).alias("datasets"))
-    return analytics.shared_pairs(*graph.build_graph(papers.drop("datasets").join(lines, "paper_pos"), fuzzy=fuzzy))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("paper_pos")).agg(F.sort_array(F.collect_set(F.concat(F.lit("part "), F.col("l_partkey").cast("string")))).alias("datasets"))
+    return analytics.shared_pairs(*graph.build_graph(entities.stored(papers.drop("datasets").join(lines, "paper_pos")), fuzzy=fuzzy))
 
 
 def _docs(spark, sf_dir):
@@ -183,8 +183,7 @@ def alias_labels(spark, sf_dir):
 
 
 def fuzzy_labels(spark, sf_dir):
-    papers = order_papers(spark, sf_dir)
-    return entities.resolve(graph.mentions(papers)).groupBy("type", "resolved").agg(F.count("*").alias("n"))
+    return graph.resolved_counts(order_papers(spark, sf_dir))
 
 
 def merged_chunks(spark, sf_dir):

@@ -62,8 +62,9 @@ def list_values(papers: DataFrame, field: str) -> DataFrame:
 
 
 def top_datasets(nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
-    named = edges.where("relation = 'uses'").join(nodes.select(F.col("id").alias("target"), F.col("label").alias("dataset")), "target")
-    return named.groupBy("dataset").agg(F.count("*").alias("papers")).orderBy(F.desc("papers"), "dataset").limit(limit)
+    used = edges.where("relation = 'uses'").groupBy("target").agg(F.count("*").alias("n"))  # counted first: a dataset may have very many edges
+    named = used.join(nodes.where("type = 'Dataset'").select(F.col("id").alias("target"), F.col("label").alias("dataset")), "target")
+    return named.groupBy("dataset").agg(F.sum("n").alias("papers")).orderBy(F.desc("papers"), "dataset").limit(limit)
 
 
 def keyword_papers(nodes: DataFrame, edges: DataFrame, keyword: str) -> DataFrame:

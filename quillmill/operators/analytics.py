@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations, groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,15 +78,16 @@ def shared_pairs(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFra
     """The first `limit` pairs by dataset and papers. They lie in the first `limit` datasets with two papers or more,
     among the first `limit` + 1 papers of each, so no others are paired."""
     uses = edges.where("relation = 'uses'").select("source", "target").distinct()
-    first = uses.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").orderBy("target").limit(limit).select("target")
+    first = [r[0] for r in uses.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").orderBy("target").limit(limit).select("target").collect()]
     rank = F.row_number().over(Window.partitionBy("target").orderBy("source"))
-    few = uses.join(F.broadcast(first), "target").withColumn("k", rank).where(F.col("k") <= limit + 1).drop("k")
-    pairs = few.select(F.col("source").alias("a"), "target").join(few.select(F.col("source").alias("b"), "target"), "target").where("a < b")
-    names = nodes.select("id", "label")
-    top = pairs.orderBy("target", "a", "b").limit(limit)
-    for end, name in (("target", "dataset"), ("a", "paper_a"), ("b", "paper_b")):
-        top = top.join(names.select(F.col("id").alias(end), F.col("label").alias(name)), end)
-    return top.select("dataset", "paper_a", "paper_b")
+    few = uses.where(F.col("target").isin(first)).withColumn("k", rank).where(F.col("k") <= limit + 1).drop("k")
+    few = sorted(map(tuple, few.select("target", "source").collect()))  # at most `limit` times `limit` + 1 rows
+    pairs = [(target, a, b) for target, group in groupby(few, lambda x: x[0]) for a, b in combinations([x[1] for x in group], 2)]
+    top = sorted(pairs)[:limit]
+    ids = sorted({x for pair in top for x in pair})
+    label = {r["id"]: r["label"] for r in nodes.where(F.col("id").isin(ids)).select("id", "label").collect()}
+    rows = [tuple(label[x] for x in pair) for pair in top if all(x in label for x in pair)]
+    return edges.sparkSession.createDataFrame(rows, "dataset string, paper_a string, paper_b string")
 
 
 def filter_papers(papers: DataFrame, query: str = "", *, datasets: Sequence[str] = (), baselines: Sequence[str] = (), metrics: Sequence[str] = (), keywords: Sequence[str] = (), tasks: Sequence[str] = ()) -> DataFrame:
